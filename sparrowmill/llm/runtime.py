@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +55,32 @@ def text_or_empty(name: str = "text"):
 def lower_ascii(column):
     """A-Z to a-z, nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Bits of a membership filter: its size (1 MB) doesn't depend on the data. When it fills up it lets more rows pass.
+FILTER_BITS = 1 << 23
+
+
+class IdFilter:
+    """A fixed-size bitmap of hashed ids: tells ids that are surely not among those it was built of. What passes may still
+    be none of them, so it only saves work before a join."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        bit = (F.pmod(F.xxhash64(column), F.lit(FILTER_BITS - 1)) + 1)
+        parts = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+        bits = bytearray(FILTER_BITS // 8 + 4096)
+        for part, some in parts.collect():  # FILTER_BITS in all
+            at = (part - 1) * 4096
+            bits[at : at + len(some)] = some
+        self.shared = ids.sparkSession.sparkContext.broadcast(bytes(bits))
+
+    def passes(self, column: str):
+        shared = self.shared
+
+        @F.pandas_udf("boolean")
+        def test(bit: pd.Series) -> pd.Series:
+            bits = np.frombuffer(shared.value, np.uint8)
+            place = bit.to_numpy() - 1  # parts and places count from the value 1
+            return pd.Series((bits[place >> 3] >> (place & 7) & 1).astype(bool))
+
+        return test((F.pmod(F.xxhash64(column), F.lit(FILTER_BITS - 1)) + 1))

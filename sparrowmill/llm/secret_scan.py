@@ -225,7 +225,8 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of a secret in the text replaced by the mark; overlapping spans become one mark."""
+    """docs with every span of a secret in the text replaced by the mark; overlapping spans become one mark. A column n_chars
+    follows the text."""
     runtime.small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -247,7 +248,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
         return texts.map(one)
 
-    return docs.withColumn(text, run(text))
+    out = docs.withColumn(text, run(text))
+    return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
