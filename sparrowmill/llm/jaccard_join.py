@@ -12,7 +12,8 @@ A list isn't expanded into all its pairs. In each of ROUNDS rounds it compares i
 each round, by hash), which links the many near copies of one text at once; only members whose component differs from the
 pivot's are compared, and size and place bounds come first. After these rounds, members of a list whose components still
 differ are compared with each other, so that no link between components is lost; links within a component change nothing.
-Candidates are verified on the whole texts' shingles.
+Candidates are first held against bitmaps of their sets (a bit of one set that the other lacks is a shingle that it lacks,
+which bounds the intersection from above), then verified on the whole texts' shingles.
 
 The shared order puts shingles that very many documents hold last, told by a table of ORDER_BUCKETS counters (fixed size,
 broadcast). It is a heuristic: any shared order gives the same links.
@@ -41,6 +42,7 @@ from .wordhash import WordHasher, mix, signed
 SHINGLE = 5
 ROUNDS = 2
 ORDER_BUCKETS = 1 << 20
+BITMAP_MOST = 1 << 16
 LIST_COST = 2.0  # entries of an inverted list that one prefix entry meets, on average
 
 
@@ -88,48 +90,69 @@ class Shingles:
         return out
 
 
+def bitmap(x: np.ndarray) -> bytes:
+    """A bit for each shingle's low bits, in 2 bits a shingle at least; sets of very many shingles have BITMAP_MOST bits."""
+    size = 64
+    while size < min(2 * len(x), BITMAP_MOST):
+        size *= 2
+    out = np.zeros(size, np.uint8)
+    out[(x & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_reach(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """Whether sets of n and m shingles with these bitmaps may link. A bitmap is folded to the size of a smaller one."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return 7 * most >= 3 * (n + m)
+
+
 def _bytes(column) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the signature (s1, s2) of each row's set."""
+    """doc_id, n_shingles, the signature (s1, s2) and a bitmap of each row's set; and rows (bucket, n) of how many of a task's sets
+    have a shingle in one of ORDER_BUCKETS, for buckets well above the usual."""
+    names = ["doc_id", "n_shingles", "s1", "s2", "bucket", "n", "bits"]
 
     def run(batches):
-        shingles = Shingles()
+        shingles, counts = Shingles(), np.zeros(ORDER_BUCKETS, np.int64)
         salt = np.uint64(0x5851F42D4C957F2D)
         for batch in batches:
             sets = shingles.sets(_bytes(batch.column(1)))
             one = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64)
             two = np.array([mix(x ^ salt).sum(dtype=np.uint64) for x in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(signed(one)), pa.array(signed(two))], names=["doc_id", "n_shingles", "s1", "s2"])
+            for x in sets:
+                buckets = (x & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64)
+                counts[buckets] += 1  # two shingles of a set in one bucket count once
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(signed(one)), pa.array(signed(two)), none, none, pa.array([bitmap(x) for x in sets], pa.binary())], names=names)
+        many = np.flatnonzero(counts > 8 + 4 * counts.mean())
+        none = pa.nulls(len(many), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(many), pa.array(counts[many]), pa.nulls(len(many), pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in names[:-1]) + ", bits binary")
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
+def common_shingles(signed_rows: DataFrame) -> np.ndarray:
     """For each of ORDER_BUCKETS how common its shingles are, as a power of 2 (0: not seen to be common)."""
-
-    def run(batches):
-        shingles, counts = Shingles(), np.zeros(ORDER_BUCKETS, np.int64)
-        for batch in batches:
-            for x in shingles.sets(_bytes(batch.column(1))):
-                buckets = np.unique((x & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64))
-                counts[buckets] += 1
-        usual = counts.mean()
-        many = np.flatnonzero(counts > 8 + 4 * usual)
-        yield pa.RecordBatch.from_arrays([pa.array(many), pa.array(counts[many])], names=["bucket", "n"])
-
-    sums = docs.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(ORDER_BUCKETS, np.uint8)
-    for bucket, n in sums.collect():  # ORDER_BUCKETS rows at most
-        out[bucket] = n.bit_length()
+    sums = signed_rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # ORDER_BUCKETS rows at most
+    if len(sums):
+        out[sums.column("bucket").to_numpy()] = np.floor(np.log2(sums.column("n").to_numpy())) + 1
     return out
 
 
-def entries(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """The inverted lists' entries: token, doc_id, n (the set's size) and place (of the token in the set's order)."""
+def entries(docs: DataFrame, common: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
+    """The inverted lists' entries: token, doc_id, n (the set's size) and place (of the token in the set's order). With a
+    bitmap of tokens, only those that may be among them."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
+    only = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
     light = boundary()
 
     def run(batches):
@@ -149,6 +172,9 @@ def entries(docs: DataFrame, common: np.ndarray) -> DataFrame:
                             some = np.array(list(combinations(x.tolist(), size)), np.uint64)
                             own.append(mix(some.sum(axis=1, dtype=np.uint64) + np.uint64(size)))
                             at.append(np.full(len(some), -1))
+                if only is not None:
+                    pass_ = [runtime.in_bitmap(only.value, x) for x in own]
+                    own, at = [x[p] for x, p in zip(own, pass_)], [x[p] for x, p in zip(at, pass_)]
                 tokens += own
                 places += at
                 counts.append(sum(map(len, own)))
@@ -175,13 +201,27 @@ def _may_link(n, place, other_n, other_place):
     return fits & ((place < 0) | (other_place < 0) | (7 * most >= 3 * (n + other_n)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link."""
+    sets = sets.select("doc_id", F.col("n_shingles").alias("n"), "bits")
+    sets = runtime.IdFilter(pairs, "a", "b").passing(sets, "doc_id")
+    left, right = sets.toDF("a", "a_n", "a_bits"), sets.toDF("b", "b_n", "b_bits")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_n", "b_n", "a_bits", "b_bits")
+
+    def run(batches):
+        for batch in batches:
+            a, n, b, m = (batch.column(i).to_pylist() for i in (4, 2, 5, 3))
+            keep = pa.array([may_reach(*x) for x in zip(a, n, b, m)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts link."""
-    pairs = runtime.checkpointed(pairs)
-    texts = docs.select("doc_id", "text")
-    one, two = runtime.IdFilter(pairs, "a"), runtime.IdFilter(pairs, "b")
-    left = texts.where(one.passes("doc_id")).select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-    right = texts.where(two.passes("doc_id")).select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
+    pairs = runtime.checkpointed(possible(runtime.checkpointed(pairs), sets).distinct())
+    texts = runtime.IdFilter(pairs, "a", "b").passing(docs.select("doc_id", "text"), "doc_id")
+    left, right = texts.toDF("a", "a_text"), texts.toDF("b", "b_text")
     both = pairs.join(right, "b").join(left, "a")
 
     def run(batches):
@@ -208,14 +248,14 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, id_: str, name: str) ->
     return rows.join(labels.select(F.col("node").alias(id_), F.col("component").alias("_c")), id_, "left").withColumn(name, F.coalesce("_c", id_)).drop("_c")
 
 
-def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
+def links(reps: DataFrame, docs: DataFrame, common: np.ndarray, sets: DataFrame) -> DataFrame:
     """Verified links (a, b) between documents of unlike sets, enough of them that all linked ones are connected."""
     chosen = runtime.IdFilter(reps, "doc_id")
-    texts = docs.select("doc_id", "text").where(chosen.passes("doc_id"))
-    rows = entries(texts, common_shingles(texts))
-    # what remains are the lists of two members or more
-    counts = rows.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
-    lists = runtime.checkpointed(rows.join(counts, "token"))
+    texts = chosen.passing(docs.select("doc_id", "text"), "doc_id")
+    # the lists of two members or more; most tokens have one, and their entries are left out of the second pass
+    counts = entries(texts, common).groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
+    counts = runtime.checkpointed(counts)
+    lists = runtime.checkpointed(entries(texts, common, runtime.token_bitmap(counts, "token")).join(counts, "token"))
     found: DataFrame | None = None
     labels: DataFrame | None = None
     pivots = []
@@ -227,9 +267,9 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("doc_id", "p_doc").alias("a"), F.greatest("doc_id", "p_doc").alias("b")).where("a < b").distinct()
         if pivots:
             pairs = pairs.join(pivots[0], ["a", "b"], "left_anti")
-        pairs = runtime.checkpointed(pairs)
+        pairs = runtime.checkpointed(pairs)  # also read by the later rounds
         pivots = [pairs if not pivots else runtime.checkpointed(pivots[0].unionByName(pairs))]
-        new = runtime.checkpointed(verified(pairs, docs))
+        new = runtime.checkpointed(verified(pairs, docs, sets))
         found = new if found is None else runtime.checkpointed(found.unionByName(new))
         labels = components(found)
     # what is left: members of one list in unlike components that no pivot was compared with
@@ -240,16 +280,17 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
     bound = _may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
     pairs = x.join(y, same & bound).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(pivots[0], ["a", "b"], "left_anti")
-    return found.unionByName(verified(pairs, docs))
+    return found.unionByName(verified(pairs, docs, sets))
 
 
 def join(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles and component_id."""
     runtime.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sets = runtime.checkpointed(signatures(docs))
+    rows = runtime.checkpointed(signatures(docs))
+    sets = rows.where("bucket IS NULL").drop("bucket", "n")
     classes = runtime.checkpointed(sets.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    linked = components(links(classes.select(F.col("rep").alias("doc_id")), docs))
+    linked = components(links(classes.select(F.col("rep").alias("doc_id")), docs, common_shingles(rows), sets))
     named = classes.join(linked, classes.rep == linked.node, "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(named, ["s1", "s2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

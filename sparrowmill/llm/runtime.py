@@ -6,7 +6,6 @@ import sys
 import tempfile
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +13,9 @@ from pyspark.sql import functions as F
 # Worker functions travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules["sparrowmill"])
 
-#: Rows of one Arrow batch; bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch; they bound a Python worker's memory.
+BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches hold at most BATCH_ROWS rows from now on."""
+    """Arrow batches hold at most BATCH_ROWS rows and about BATCH_BYTES from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -57,30 +58,44 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Bits of a membership filter: its size (1 MB) doesn't depend on the data. When it fills up it lets more rows pass.
-FILTER_BITS = 1 << 23
+#: Bits of a filter of ids and of one of tokens. A filter's size (a 64th as many numbers) doesn't depend on the data; when it
+#: fills up, it lets more rows pass.
+FILTER_BITS = 1 << 20
+TOKEN_BITS = 1 << 23
+
+
+def _filter_words(ids: DataFrame, hashed, size: int) -> DataFrame:
+    places = ids.select(hashed.bitwiseAND(size - 1).alias("_bit"))
+    ones = places.select(F.shiftright("_bit", 6).alias("_word"), F.expr("shiftleft(1L, cast(_bit & 63 as int))").alias("_one"))
+    return ones.groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
 
 
 class IdFilter:
     """A fixed-size bitmap of hashed ids: tells ids that are surely not among those it was built of. What passes may still
     be none of them, so it only saves work before a join."""
 
-    def __init__(self, ids: DataFrame, column: str):
-        bit = (F.pmod(F.xxhash64(column), F.lit(FILTER_BITS - 1)) + 1)
-        parts = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-        bits = bytearray(FILTER_BITS // 8 + 4096)
-        for part, some in parts.collect():  # FILTER_BITS in all
-            at = (part - 1) * 4096
-            bits[at : at + len(some)] = some
-        self.shared = ids.sparkSession.sparkContext.broadcast(bytes(bits))
-
-    def passes(self, column: str):
-        shared = self.shared
-
-        @F.pandas_udf("boolean")
-        def test(bit: pd.Series) -> pd.Series:
-            bits = np.frombuffer(shared.value, np.uint8)
-            place = bit.to_numpy() - 1  # parts and places count from the value 1
-            return pd.Series((bits[place >> 3] >> (place & 7) & 1).astype(bool))
-
-        return test((F.pmod(F.xxhash64(column), F.lit(FILTER_BITS - 1)) + 1))
+    def __init__(self, ids: DataFrame, *columns: str):
+        each = ids.select(F.explode(F.array(*columns)).alias("_id"))
+        self.words = checkpointed(_filter_words(each, F.xxhash64("_id"), FILTER_BITS))
+
+    def marked(self, df: DataFrame, column: str, mark: str = "_may") -> DataFrame:
+        """df with a column telling whether the id may be one of the filter's."""
+        bit = F.xxhash64(column).bitwiseAND(FILTER_BITS - 1)
+        out = df.withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(self.words), "_word", "left")  # of fixed size
+        return out.withColumn(mark, F.coalesce(F.getbit("_bits", bit.bitwiseAND(63).cast("int")) == 1, F.lit(False))).drop("_word", "_bits")
+
+    def passing(self, df: DataFrame, column: str) -> DataFrame:
+        return self.marked(df, column).where("_may").drop("_may")
+
+
+def token_bitmap(tokens: DataFrame, column: str) -> np.ndarray:
+    """The same for tokens that are hashes themselves, as TOKEN_BITS / 64 numbers for workers (1 MB)."""
+    found = _filter_words(tokens, F.col(column), TOKEN_BITS).toArrow()
+    out = np.zeros(TOKEN_BITS // 64, np.uint64)
+    out[found.column("_word").to_numpy()] = found.column("_bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    bit = tokens & np.uint64(TOKEN_BITS - 1)
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -116,7 +116,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(anchor[row]), pa.array(key[row]), pa.array(ids[doc[row]]), pa.array(index.astype(np.int32)), pa.array(signed(hasher.runs(prefix, begin, WINDOW)))], names=["anchor", "key", "doc_id", "i", "window"])
 
     texts = docs.select("doc_id", "text")
-    each = texts.where(near.passes("doc_id")).join(wanted, "doc_id").select("doc_id", "text", "paths").mapInArrow(windows, "anchor long, key long, doc_id long, i int, window long")
+    each = near.passing(texts, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "paths").mapInArrow(windows, "anchor long, key long, doc_id long, i int, window long")
     each = runtime.checkpointed(each)
     lowest = each.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("n > 1").drop("n")
     # what a window's path alone tells is its first document; only windows that occur in an earlier one say more
@@ -150,7 +150,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text")
     spans = runtime.checkpointed(repeated(texts))
     near = runtime.IdFilter(spans, "doc_id")
-    flagged = texts.withColumn("_touched", near.passes("doc_id"))
+    flagged = near.marked(texts, "doc_id", "_touched")
 
     def run(batches):
         for batch in batches:

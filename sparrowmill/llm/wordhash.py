@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
+CHUNK = 1 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F)
 
 
@@ -50,7 +51,21 @@ class WordHasher:
 
     def words(self, texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The hash of each word of the texts, and the number of words before each text (one more at the end). Words are
-        runs of bytes other than 0x20 and 0x09 to 0x0D."""
+        runs of bytes other than 0x20 and 0x09 to 0x0D. Texts are read CHUNK bytes at a time, whole ones."""
+        hashes, borders, n, at = [], [np.zeros(1, np.int64)], 0, 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+                size += len(texts[end])
+                end += 1
+            some, ends = self._words(texts[at:end], lower)
+            hashes.append(some)
+            borders.append(ends[1:] + n)
+            n += len(some)
+            at = end
+        return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(borders)
+
+    def _words(self, texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
         joined = b"\n".join(texts) + b"\n"
         data = np.frombuffer(joined.translate(_LOWER) if lower else joined, np.uint8)
         inside = np.zeros(len(data) + 2, np.int8)
