@@ -91,7 +91,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     hosts = named.groupBy("host").agg(F.sum("n_labelled").alias("host_labelled"), F.sum("n_bad").alias("host_bad"))
     tree = named.groupBy("host", "template").agg(F.sum("n_labelled").alias("labelled"), F.sum("n_bad").alias("bad"))
     rate = (F.col("host_bad") + PRIOR * F.coalesce("overall", F.lit(0.0))) / (F.col("host_labelled") + PRIOR)
-    share = (F.col("bad") + PRIOR * rate) / (F.col("labelled") + PRIOR)
+    share = F.when(F.col("labelled") > 0, (F.col("bad") + PRIOR * rate) / (F.col("labelled") + PRIOR)).otherwise(0.0)  # by labels of its own only
     tree = tree.join(hosts, "host").join(F.broadcast(overall)).select("host", "template", share.alias("bad_share"))  # overall: one row
     decided = _salted_join(named.select("host", "path", "template"), tree, ["host", "template"])
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
