@@ -280,7 +280,7 @@ def links(reps: DataFrame, docs: DataFrame, common: np.ndarray, sets: DataFrame)
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
     bound = _may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
     pairs = x.join(y, same & bound).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(pivots[0], ["a", "b"], "left_anti")
-    return found.unionByName(verified(pairs, docs, sets))
+    return found.unionByName(runtime.checkpointed(verified(pairs, docs, sets)))
 
 
 def join(docs: DataFrame) -> DataFrame:
