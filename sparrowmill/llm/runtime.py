@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark import cloudpickle
@@ -44,9 +45,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read from there: lost executors cost nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written as a table in the shared checkpoint folder and read from there: lost executors cost nothing.
+
+    Unlike the plan that checkpoint() leaves, which inherits its origin's estimates (joins multiply them, so that after
+    some rounds the driver plans for minutes on numbers of astronomic length), a table's statistics are its own size.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def text_or_empty(name: str = "text"):
