@@ -8,10 +8,10 @@ common subset. Heavy sets are scanned: each gives its prefix, the rarest quarter
 share, one of which any link must have in common. The boundary is where a set's subsets get more than its prefix entries.
 Both kinds of keys make inverted lists.
 
-A list isn't expanded into all its pairs. In each of ROUNDS rounds it compares its members with one pivot (another one
-each round, by hash), which links the many near copies of one text at once; only members whose component differs from the
-pivot's are compared, and size and place bounds come first. After these rounds, members of a list whose components still
-differ are compared with each other, so that no link between components is lost; links within a component change nothing.
+A list isn't expanded into all its pairs. First each compares its members with one pivot, chosen by hash, so that lists with
+the same members have one of PIVOTS pivots: this links the many near copies of one text at once. Size and place bounds come
+before. Then members of a list whose components still differ are compared with each other, so that no link between
+components is lost; links within a component change nothing.
 Candidates are first held against bitmaps of their sets (a bit of one set that the other lacks is a shingle that it lacks,
 which bounds the intersection from above), then verified on the whole texts' shingles.
 
@@ -40,7 +40,7 @@ from .components import components
 from .wordhash import WordHasher, mix, signed
 
 SHINGLE = 5
-ROUNDS = 2
+PIVOTS = 2
 ORDER_BUCKETS = 1 << 20
 BITMAP_MOST = 1 << 16
 LIST_COST = 2.0  # entries of an inverted list that one prefix entry meets, on average
@@ -218,8 +218,8 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts link."""
-    pairs = runtime.checkpointed(possible(runtime.checkpointed(pairs), sets).distinct())
+    """The pairs (a, b), a written table, whose texts link."""
+    pairs = runtime.checkpointed(possible(pairs, sets).distinct())
     texts = runtime.IdFilter(pairs, "a", "b").passing(docs.select("doc_id", "text"), "doc_id")
     left, right = texts.toDF("a", "a_text"), texts.toDF("b", "b_text")
     both = pairs.join(right, "b").join(left, "a")
@@ -241,10 +241,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None, id_: str, name: str) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame, id_: str, name: str) -> DataFrame:
     """rows with the component of the document in column id_; a document without links is its own."""
-    if labels is None:
-        return rows.withColumn(name, F.col(id_))
     return rows.join(labels.select(F.col("node").alias(id_), F.col("component").alias("_c")), id_, "left").withColumn(name, F.coalesce("_c", id_)).drop("_c")
 
 
@@ -256,31 +254,21 @@ def links(reps: DataFrame, docs: DataFrame, common: np.ndarray, sets: DataFrame)
     counts = entries(texts, common).groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
     counts = runtime.checkpointed(counts)
     lists = runtime.checkpointed(entries(texts, common, runtime.token_bitmap(counts, "token")).join(counts, "token"))
-    found: DataFrame | None = None
-    labels: DataFrame | None = None
-    pivots = []
-    for k in range(ROUNDS):
-        named = _labelled(lists, labels, "doc_id", "component")
-        key = F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), F.col("doc_id").alias("p_doc"), F.col("n").alias("p_n"), F.col("place").alias("p_place"), F.col("component").alias("p_component"))
-        pivot = named.groupBy("token").agg(F.min(key).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "p.*")
-        pairs = named.join(pivot, "token").where("component <> p_component").where(_may_link(F.col("n"), F.col("place"), F.col("p_n"), F.col("p_place")))
-        pairs = pairs.select(F.least("doc_id", "p_doc").alias("a"), F.greatest("doc_id", "p_doc").alias("b")).where("a < b").distinct()
-        if pivots:
-            pairs = pairs.join(pivots[0], ["a", "b"], "left_anti")
-        pairs = runtime.checkpointed(pairs)  # also read by the later rounds
-        pivots = [pairs if not pivots else runtime.checkpointed(pivots[0].unionByName(pairs))]
-        new = runtime.checkpointed(verified(pairs, docs, sets))
-        found = new if found is None else runtime.checkpointed(found.unionByName(new))
-        labels = components(found)
-    # what is left: members of one list in unlike components that no pivot was compared with
-    named = _labelled(lists, labels, "doc_id", "component")
+    # pivots: a token's last bits choose one of PIVOTS orders of documents
+    key = F.struct(F.xxhash64("doc_id", F.col("token").bitwiseAND(PIVOTS - 1)).alias("h"), F.col("doc_id").alias("p_doc"), F.col("n").alias("p_n"), F.col("place").alias("p_place"))
+    pivot = lists.groupBy("token").agg(F.min(key).alias("p")).select("token", "p.*")
+    pairs = lists.join(pivot, "token").where("doc_id <> p_doc").where(_may_link(F.col("n"), F.col("place"), F.col("p_n"), F.col("p_place")))
+    compared = runtime.checkpointed(pairs.select(F.least("doc_id", "p_doc").alias("a"), F.greatest("doc_id", "p_doc").alias("b")).distinct())
+    found = runtime.checkpointed(verified(compared, docs, sets))
+    # what is left: members of one list in unlike components that weren't compared with a pivot
+    named = _labelled(lists, components(found), "doc_id", "component")
     open_ = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     rest = runtime.checkpointed(named.join(open_, "token"))
     x, y = rest.alias("x"), rest.alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
     bound = _may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
-    pairs = x.join(y, same & bound).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(pivots[0], ["a", "b"], "left_anti")
-    return found.unionByName(runtime.checkpointed(verified(pairs, docs, sets)))
+    pairs = x.join(y, same & bound).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+    return found.unionByName(verified(runtime.checkpointed(pairs), docs, sets))
 
 
 def join(docs: DataFrame) -> DataFrame:
