@@ -2,9 +2,9 @@
 
 Each text is a layer. A layer is searched with the base patterns; then every encoded stretch in it (percent escapes,
 Unicode escapes, base64, and compressed data within base64) gives a further layer, until no new layer appears. A layer
-that was seen before in its document isn't taken up again, which ends cycles. Each layer keeps, for every one of its
-characters, the span of the document it came from, so that a secret found deep inside is reported at the stretch of the
-document that encodes it.
+that was seen before in its document, with the same content from the same place, isn't taken up again, which ends cycles;
+equal layers from other places are layers of their own. Each layer keeps, for every one of its characters, the span of the
+document it came from, so that a secret found deep inside is reported at each stretch of the document that encodes it.
 
 Defined cases: null and empty texts have no spans. Spans are half-open, in code points, each once, ordered by start, then
 by kind as in KINDS. Secrets that overlap in different kinds are all reported. Decoded bytes that are no printable UTF-8
@@ -56,11 +56,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 class Origin:
     """Where a layer's characters come from in the document: pieces (place in the layer, start, end), the first place 0.
-    A piece with end None copies characters one to one; another stands as a whole for its span."""
+    A piece with end None copies characters one to one; another stands as a whole for its span, and adjacent ones of one
+    span are one piece."""
 
     def __init__(self, pieces: list[tuple[int, int, int | None]]):
-        self.pieces = pieces
-        self.firsts = [p[0] for p in pieces]
+        self.pieces = [p for i, p in enumerate(pieces) if not i or p[2] is None or p[1:] != pieces[i - 1][1:]]
+        self.firsts = [p[0] for p in self.pieces]
 
     def _at(self, place: int) -> tuple[int, int]:
         first, start, end = self.pieces[bisect_right(self.firsts, place) - 1]
@@ -158,7 +159,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     base = sorted(set(base_spans(text)))
     found = set(base)
     work: list[tuple[str, Origin, int]] = [(text, Origin([(0, 0, None)]), 0)]
-    seen: set[bytes] | None = None
+    seen: set[tuple] = set()
     layers = deepest = cut = 0
     while work:
         layer, origin, depth = work.pop()
@@ -186,10 +187,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             inner = _printable(data)
             if inner is not None:
                 new.append((inner, Origin([(0, *origin.span(m.start(), m.end()))])))
-        if new and seen is None:
-            seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
         for inner, where in new:
-            key = hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            key = (hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *where.pieces)
             if key not in seen:
                 seen.add(key)
                 work.append((inner, where, depth + 1))

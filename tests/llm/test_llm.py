@@ -114,6 +114,16 @@ def test_hidden_secrets(hide):
     assert not base and spans and all(2 <= s < e <= len(text) - 4 for s, _, e in spans)
 
 
+def test_each_place_of_an_equal_layer_is_found(spark):
+    for token in (base64.b64encode(SECRET.encode()).decode(), base64.b64encode(gzip.compress(SECRET.encode(), mtime=0)).decode()):
+        for inner in (token, urllib.parse.quote(token, safe="").replace("a", "%61")):
+            text = f"{inner} and {inner} or {inner}."
+            spans = secret_scan.scan(text)[1]
+            assert {(s, e) for s, _, e in spans if e - s >= len(inner)} == {(m.start(), m.end()) for m in re.finditer(re.escape(inner), text)}
+            assert secret_scan.redact(odd(spark, [(1, text)])).first()["text"] == "[SECRET] and [SECRET] or [SECRET]."
+    assert secret_scan.scan(urllib.parse.quote(SECRET) + " \\u0041 x")[2] == 3
+
+
 def test_base_secrets_by_plain_regexes(spark):
     rows = [(i, t) for i, t in enumerate(["PASSWORD: 'hunter22' AKIA" + "B" * 16, "api-key=abcdef", "apikey=abc", "f" * 24 + "g" + "0" * 23, "ſecret=abcdefg", None])]
     got = {r["doc_id"]: r for r in secret_scan.find(odd(spark, rows), ["doc_id"]).collect()}
