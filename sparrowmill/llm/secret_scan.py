@@ -30,7 +30,8 @@ from . import runtime
 
 KINDS = ("assign", "access", "hex")
 MAX_INFLATED = 16 << 20
-MIN_BASE64 = 20
+#: Of padded text of 16 characters at least: 12 bytes, as the shortest base match has, or a compressed 10 that hold 24.
+MIN_BASE64 = 14
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -182,8 +183,6 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             if opened is not None:
                 data, more = opened
                 cut += more
-            elif not data[:3].isascii():
-                continue
             inner = _printable(data)
             if inner is not None:
                 new.append((inner, Origin([(0, *origin.span(m.start(), m.end()))])))

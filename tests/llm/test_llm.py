@@ -124,6 +124,13 @@ def test_each_place_of_an_equal_layer_is_found(spark):
     assert secret_scan.scan(urllib.parse.quote(SECRET) + " \\u0041 x")[2] == 3
 
 
+@pytest.mark.parametrize("secret", ["é password=hunter22secret", "日本 password=hunter22", "token=abc123", "token=hunter22", "passwd:abcdef"])
+def test_short_and_foreign_base64_is_decoded(secret):
+    for token in (base64.b64encode(secret.encode()).decode(), base64.urlsafe_b64encode(secret.encode()).decode().rstrip("=")):
+        assert secret_scan.scan(f"x {token} y")[1] == [(2, 0, 2 + len(token))]
+    assert secret_scan.scan("dG9rZW49aGVsbG8=")[1] == []
+
+
 def test_base_secrets_by_plain_regexes(spark):
     rows = [(i, t) for i, t in enumerate(["PASSWORD: 'hunter22' AKIA" + "B" * 16, "api-key=abcdef", "apikey=abc", "f" * 24 + "g" + "0" * 23, "ſecret=abcdefg", None])]
     got = {r["doc_id"]: r for r in secret_scan.find(odd(spark, rows), ["doc_id"]).collect()}
