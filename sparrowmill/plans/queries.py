@@ -164,6 +164,17 @@ for _name, _where in {
     "scan_case": "CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 2 END = 2 AND l_orderkey < 1000",
 }.items():
     sql(_name, f"SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE {_where}")
+for _name, _where in {
+    "scan_column_column": "l_tax < l_discount",
+    "scan_in_list": "l_linenumber IN (1, 3, 5)",
+    "scan_not_in_list": "l_linenumber NOT IN (1, 2, 3, 4)",
+    "scan_or_split": "l_quantity < 2 OR l_discount > 0.095",
+    "scan_null_logic": "nullif(l_returnflag, 'N') IS NULL",
+    "scan_not_null": "nullif(l_linestatus, 'O') IS NOT NULL",
+    "scan_constant": "4 > 3",
+    "scan_case": "CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 2 END = 2",
+}.items():
+    sql(f"{_name}_whole", f"SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE {_where}")
 sql("like_patterns", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 's%g' OR p_name LIKE '_r%' OR p_name NOT LIKE '%a%'")
 sql("ilike_patterns", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE 'pro%' OR p_type NOT ILIKE '%A%'")
 
@@ -185,11 +196,23 @@ def in_list_of_mixed_types(spark, sf_dir):
 sql("arithmetic", "SELECT l_orderkey, l_linenumber, -l_quantity AS neg, abs(l_discount - 0.05) AS dist, round(l_extendedprice * (1 + l_tax) - l_discount, 4) AS x, l_linenumber % 3 AS m FROM lineitem WHERE l_orderkey < 800")
 
 
+sql("arithmetic_whole", "SELECT l_orderkey, l_linenumber, -l_quantity AS neg, abs(l_discount - 0.05) AS dist, round(l_extendedprice * (1 + l_tax) - l_discount, 4) AS x, l_linenumber % 3 AS m FROM lineitem")
+
+
 @frame("SELECT l_orderkey, l_linenumber, CAST(l_partkey // nullif(l_linenumber - 1, 0) AS BIGINT) AS d, CAST(l_partkey % nullif(l_linenumber - 1, 0) AS BIGINT) AS m, round(l_extendedprice / nullif(l_linenumber - 1, 0), 4) AS f FROM lineitem WHERE l_orderkey < 800")
 def division_by_zero_is_null(spark, sf_dir):
     (li,) = tables(spark, sf_dir, "lineitem")
+    return _divided(li.where("l_orderkey < 800"))
+
+
+def _divided(li: DataFrame) -> DataFrame:
     b = F.col("l_linenumber") - 1
-    return li.where("l_orderkey < 800").select("l_orderkey", "l_linenumber", S.int_div(F.col("l_partkey"), b, "long").alias("d"), S.safe_mod(F.col("l_partkey"), b).cast("long").alias("m"), F.round(S.safe_div(F.col("l_extendedprice"), b), 4).alias("f"))
+    return li.select("l_orderkey", "l_linenumber", S.int_div(F.col("l_partkey"), b, "long").alias("d"), S.safe_mod(F.col("l_partkey"), b).cast("long").alias("m"), F.round(S.safe_div(F.col("l_extendedprice"), b), 4).alias("f"))
+
+
+@frame("SELECT l_orderkey, l_linenumber, CAST(l_partkey // nullif(l_linenumber - 1, 0) AS BIGINT) AS d, CAST(l_partkey % nullif(l_linenumber - 1, 0) AS BIGINT) AS m, round(l_extendedprice / nullif(l_linenumber - 1, 0), 4) AS f FROM lineitem")
+def division_by_zero_is_null_whole(spark, sf_dir):
+    return _divided(*tables(spark, sf_dir, "lineitem"))
 
 
 @frame("SELECT p_partkey, substr(p_name, 0, 3) AS a, substr(p_name, 2, 4) AS b, substr(p_name, -3, 4) AS c, p_brand || '/' || p_type AS d, p_brand || nullif(p_type, 'PROMO') AS e FROM part")
@@ -202,7 +225,16 @@ def string_functions(spark, sf_dir):
 @frame("SELECT l_orderkey, l_linenumber, CAST(trunc(l_extendedprice) AS INT) AS i, CAST(l_quantity AS BIGINT) AS l, CAST(l_partkey AS DOUBLE) AS d, CAST(l_linenumber AS VARCHAR) AS s FROM lineitem WHERE l_orderkey < 500")
 def casts(spark, sf_dir):
     (li,) = tables(spark, sf_dir, "lineitem")
-    return li.where("l_orderkey < 500").select("l_orderkey", "l_linenumber", S.cast_to_int(F.col("l_extendedprice")).alias("i"), S.cast_to_int(F.col("l_quantity"), "long").alias("l"), F.col("l_partkey").cast("double").alias("d"), F.col("l_linenumber").cast("string").alias("s"))
+    return _cast(li.where("l_orderkey < 500"))
+
+
+def _cast(li: DataFrame) -> DataFrame:
+    return li.select("l_orderkey", "l_linenumber", S.cast_to_int(F.col("l_extendedprice")).alias("i"), S.cast_to_int(F.col("l_quantity"), "long").alias("l"), F.col("l_partkey").cast("double").alias("d"), F.col("l_linenumber").cast("string").alias("s"))
+
+
+@frame("SELECT l_orderkey, l_linenumber, CAST(trunc(l_extendedprice) AS INT) AS i, CAST(l_quantity AS BIGINT) AS l, CAST(l_partkey AS DOUBLE) AS d, CAST(l_linenumber AS VARCHAR) AS s FROM lineitem")
+def casts_whole(spark, sf_dir):
+    return _cast(*tables(spark, sf_dir, "lineitem"))
 
 
 @frame("SELECT event_id, CAST(extract(year FROM ts) AS INT) AS y, CAST(extract(month FROM ts) AS INT) AS mo, CAST(extract(day FROM ts) AS INT) AS d, CAST(extract(hour FROM ts) AS INT) AS h, CAST(extract(minute FROM ts) AS INT) AS mi, round(extract(microseconds FROM ts) / 1000000.0, 3) AS s FROM events")
@@ -225,6 +257,9 @@ _FEW = "(SELECT * FROM orders WHERE o_orderkey < 200 AND o_orderstatus <> 'P')"
 _SOME = "(SELECT * FROM lineitem WHERE l_orderkey BETWEEN 100 AND 300)"
 for _how in ("JOIN", "LEFT JOIN", "RIGHT JOIN", "FULL OUTER JOIN"):
     sql("join_" + _how.split()[0].lower().replace("join", "inner"), f"SELECT o_orderkey, o_totalprice, l_orderkey, l_partkey, l_quantity FROM {_FEW} o {_how} {_SOME} l ON o.o_orderkey = l.l_orderkey")
+_NOT_P, _R = "(SELECT * FROM orders WHERE o_orderstatus <> 'P')", "(SELECT * FROM lineitem WHERE l_returnflag = 'R')"
+for _how in ("JOIN", "LEFT JOIN", "RIGHT JOIN", "FULL OUTER JOIN"):
+    sql("join_" + _how.split()[0].lower().replace("join", "inner") + "_whole", f"SELECT o_orderkey, o_totalprice, l_orderkey, l_partkey, l_quantity FROM {_NOT_P} o {_how} {_R} l ON o.o_orderkey = l.l_orderkey")
 sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 sql("join_comma", "SELECT r_name, n_name FROM region, nation WHERE r_regionkey <> n_regionkey")
 sql("join_semi_exists", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
@@ -236,6 +271,7 @@ sql("join_theta", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation
 sql("join_theta_left", "SELECT a.n_name AS a, b.r_name AS b FROM nation a LEFT JOIN region b ON a.n_nationkey <= b.r_regionkey AND b.r_name <> 'ASIA'")
 sql("join_full_theta", "SELECT a.n_name AS a, b.r_name AS b FROM nation a FULL OUTER JOIN region b ON a.n_nationkey < b.r_regionkey")
 sql("join_multi_predicate", "SELECT a.l_orderkey, a.l_partkey AS p, b.l_partkey AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey AND a.l_discount > b.l_discount WHERE a.l_orderkey < 300")
+sql("join_multi_predicate_whole", "SELECT a.l_orderkey, a.l_partkey AS p, b.l_partkey AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey AND a.l_discount > b.l_discount")
 sql("join_expression", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON 5 + a.n_nationkey = 6 + b.n_nationkey")
 sql("join_local_predicate", "SELECT n_name, s_name FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 5000")
 sql("join_string_keys", "SELECT a.n_name, b.n_regionkey FROM nation a JOIN nation b ON a.n_name = b.n_name")
@@ -324,6 +360,10 @@ sql("sort_nulls_first", "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM
 sql("sort_by_expression", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice * -1 NULLS FIRST, o_orderkey LIMIT 50")
 sql("sort_by_aggregate", "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY sum(o_orderkey) DESC NULLS FIRST, o_custkey LIMIT 30")
 sql("sort_by_hidden_column", "SELECT c_name FROM customer ORDER BY c_acctbal NULLS FIRST, c_custkey LIMIT 40")
+sql("sort_nulls_first_whole", "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders ORDER BY s DESC NULLS FIRST, o_orderkey")
+sql("sort_by_expression_whole", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice * -1 NULLS FIRST, o_orderkey")
+sql("sort_by_aggregate_whole", "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY sum(o_orderkey) DESC NULLS FIRST, o_custkey")
+sql("sort_by_hidden_column_whole", "SELECT c_name FROM customer ORDER BY c_acctbal NULLS FIRST, c_custkey")
 sql("limit_expression", "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 1 + 4")
 sql("limit_zero", "SELECT n_nationkey FROM nation LIMIT 0")
 
@@ -335,6 +375,7 @@ def top_k(spark, sf_dir):
 
 
 _A, _B = "SELECT l_suppkey AS k, l_linenumber AS n FROM lineitem WHERE l_orderkey < 2000", "SELECT l_suppkey AS k, l_linenumber AS n FROM lineitem WHERE l_orderkey BETWEEN 1500 AND 4000"
+_A_WHOLE, _B_WHOLE = "SELECT l_partkey AS k, l_linenumber AS n FROM lineitem WHERE l_returnflag <> 'N'", "SELECT l_partkey AS k, l_linenumber AS n FROM lineitem WHERE l_returnflag <> 'R'"
 for _name, _op in (("union", "UNION"), ("union_all", "UNION ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL")):
 
     def _set(spark, sf_dir, name=_name):
@@ -343,11 +384,19 @@ for _name, _op in (("union", "UNION"), ("union_all", "UNION ALL"), ("except", "E
         return R.set_operation(a, b, name.split("_")[0], name.endswith("_all"))
 
     frame(f"{_A} {_op} {_B}", f"set_{_name}")(_set)
+
+    def _set_whole(spark, sf_dir, name=_name):
+        (li,) = tables(spark, sf_dir, "lineitem")
+        a, b = (li.where(w).select(F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("n")) for w in ("l_returnflag <> 'N'", "l_returnflag <> 'R'"))
+        return R.set_operation(a, b, name.split("_")[0], name.endswith("_all"))
+
+    frame(f"{_A_WHOLE} {_op} {_B_WHOLE}", f"set_{_name}_whole")(_set_whole)
 sql("set_branch_limits", "(SELECT n_name AS x FROM nation ORDER BY n_name LIMIT 3) UNION ALL (SELECT r_name AS x FROM region ORDER BY r_name DESC LIMIT 2)")
 
 # subqueries, CTEs
 
 sql("subquery_scalar", "SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 4) AS diff FROM orders WHERE o_orderkey < 2000")
+sql("subquery_scalar_whole", "SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 4) AS diff FROM orders")
 sql("subquery_scalar_empty", "SELECT n_nationkey, (SELECT max(r_name) FROM region WHERE r_regionkey < 0) AS x FROM nation")
 sql("subquery_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
 sql("subquery_correlated_select", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS n FROM customer")

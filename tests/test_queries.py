@@ -14,3 +14,19 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, con, name):
     assert not compare.differences(QUERIES[name](spark, SF), con, ORACLES[name])
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n.startswith("sort_") and n.endswith("_whole")])
+def test_whole_tables_in_order(spark, con, name):
+    table = "customer" if "hidden" in name else "orders"
+    got = [tuple(r) for r in QUERIES[name](spark, SF).collect()]
+    assert got == con.execute(ORACLES[name]).fetchall()
+    assert len(got) == con.execute(f"SELECT count({'DISTINCT o_custkey' if 'aggregate' in name else '*'}) FROM {table}").fetchone()[0]
+
+
+def test_whole_tables_have_unmatched_rows(spark):
+    assert len([n for n in QUERIES if n.endswith("_whole")]) == 27
+    assert all(QUERIES[f"set_{n}_whole"](spark, SF).count() for n in ("except", "except_all", "intersect", "intersect_all"))
+    full = QUERIES["join_full_whole"](spark, SF)
+    assert full.where("o_orderkey IS NULL").count() and full.where("l_orderkey IS NULL").count()
+    assert QUERIES["arithmetic_whole"](spark, SF).count() == QUERIES["scan_constant_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
