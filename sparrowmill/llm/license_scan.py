@@ -1,7 +1,8 @@
 """Operator 5 [native]: license scans by ordered signature rules.
 
 RULES holds hundreds of regexes, made of a table of licenses and the forms in which texts name them. A rule is tried only
-on texts that hold its keyword. Its matches are intervals of the lower-cased text. An interval that lies within another
+on texts that hold one of its group's words, one of its own and its further one; each of its matches holds such, so that
+nothing is lost. Its matches are intervals of the lower-cased text. An interval that lies within another
 one of the same or a better priority is suppressed, so that "apache license" says nothing beside "apache license, version
 2.0". Three base phrases are counted word by word besides. Everything runs in DataFrame expressions.
 
@@ -21,53 +22,51 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: How sure a detection of each priority is.
 SURE = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.6}
-#: The first prefilter: rules look at texts with any of these words only.
-GATES = ("licen", "spdx", "opensource.org/", "creativecommons.org/", "creative commons", "cc by", "cc-by", "cc0", "gpl", "gnu ", "wtfpl", "eupl", "cddl")
-
-# Licenses: identifier, name as a regex, keyword, versions.
+# Licenses: identifier, name as a regex, words of which every form of the name has one (with nothing but a space and more
+# of the name after it), versions.
 _PLAIN = (
-    ("mit", r"mit", "mit", ()),
-    ("isc", r"isc", "isc", ()),
-    ("zlib", r"zlib", "zlib", ()),
-    ("unlicense", r"(?:the )?unlicense", "unlicense", ()),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)", "wtf", ()),
-    ("apache", r"apache(?: software)?", "apache", ("1.0", "1.1", "2.0")),
-    ("bsd-2-clause", r"(?:bsd[- ]2[- ]clause|simplified bsd|freebsd)", "bsd", ()),
-    ("bsd-3-clause", r"(?:bsd[- ]3[- ]clause|new bsd|modified bsd|revised bsd)", "bsd", ()),
-    ("bsd-4-clause", r"(?:bsd[- ]4[- ]clause|original bsd)", "bsd", ()),
-    ("gpl", r"(?:gnu general public|gnu gpl|gpl)", "g", ("1.0", "2.0", "3.0")),
-    ("lgpl", r"(?:gnu (?:lesser|library) general public|gnu lgpl|lgpl)", "l", ("2.0", "2.1", "3.0")),
-    ("agpl", r"(?:gnu affero general public|gnu agpl|agpl)", "a", ("1.0", "3.0")),
-    ("gfdl", r"(?:gnu free documentation|gfdl)", "g", ("1.1", "1.2", "1.3")),
-    ("mpl", r"(?:mozilla public|mpl)", "m", ("1.0", "1.1", "2.0")),
-    ("epl", r"(?:eclipse public|epl)", "e", ("1.0", "2.0")),
-    ("eupl", r"(?:european union public|eupl)", "eu", ("1.0", "1.1", "1.2")),
-    ("cddl", r"(?:common development and distribution|cddl)", "c", ("1.0", "1.1")),
-    ("cpl", r"common public", "common public", ("1.0",)),
-    ("artistic", r"(?:perl )?artistic", "artistic", ("1.0", "2.0")),
-    ("bsl", r"boost(?: software)?", "boost", ("1.0",)),
-    ("afl", r"academic free", "academic", ("1.1", "2.0", "2.1", "3.0")),
-    ("osl", r"open software", "open software", ("1.0", "2.0", "2.1", "3.0")),
-    ("ecl", r"educational community", "educational", ("1.0", "2.0")),
-    ("ofl", r"(?:sil )?open font", "open font", ("1.0", "1.1")),
-    ("php", r"php", "php", ("3.0", "3.01")),
-    ("psf", r"(?:python software foundation|psf)", "p", ("2.0",)),
-    ("ncsa", r"(?:university of illinois/)?ncsa(?: open source)?", "ncsa", ()),
-    ("ms-pl", r"microsoft public", "microsoft", ()),
-    ("ms-rl", r"microsoft reciprocal", "microsoft", ()),
-    ("qpl", r"q public", "q public", ("1.0",)),
-    ("vim", r"vim", "vim", ()),
-    ("postgresql", r"postgresql", "postgresql", ()),
-    ("openssl", r"openssl", "openssl", ()),
-    ("w3c", r"w3c(?: software)?", "w3c", ()),
-    ("upl", r"universal permissive", "universal", ("1.0",)),
-    ("mulan-psl", r"mulan permissive software", "mulan", ("1.0", "2.0")),
-    ("odbl", r"(?:open data commons open database|open database|odbl)", "od", ("1.0",)),
-    ("odc-by", r"open data commons attribution", "open data", ("1.0",)),
-    ("cecill", r"cecill", "cecill", ("1.0", "1.1", "2.0", "2.1")),
-    ("rpl", r"reciprocal public", "reciprocal", ("1.1", "1.5")),
-    ("sspl", r"server side public", "server side", ("1.0",)),
-    ("busl", r"business source", "business source", ("1.1",)),
+    ("mit", r"mit", ("mit",), ()),
+    ("isc", r"isc", ("isc",), ()),
+    ("zlib", r"zlib", ("zlib",), ()),
+    ("unlicense", r"(?:the )?unlicense", ("unlicense",), ()),
+    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)", ("wtfpl", "do what the fuck you want to public"), ()),
+    ("apache", r"apache(?: software)?", ("apache",), ("1.0", "1.1", "2.0")),
+    ("bsd-2-clause", r"(?:bsd[- ]2[- ]clause|simplified bsd|freebsd)", ("bsd",), ()),
+    ("bsd-3-clause", r"(?:bsd[- ]3[- ]clause|new bsd|modified bsd|revised bsd)", ("bsd",), ()),
+    ("bsd-4-clause", r"(?:bsd[- ]4[- ]clause|original bsd)", ("bsd",), ()),
+    ("gpl", r"(?:gnu general public|gnu gpl|gpl)", ("gnu general public", "gpl"), ("1.0", "2.0", "3.0")),
+    ("lgpl", r"(?:gnu (?:lesser|library) general public|gnu lgpl|lgpl)", ("gnu lesser general public", "gnu library general public", "lgpl"), ("2.0", "2.1", "3.0")),
+    ("agpl", r"(?:gnu affero general public|gnu agpl|agpl)", ("gnu affero general public", "agpl"), ("1.0", "3.0")),
+    ("gfdl", r"(?:gnu free documentation|gfdl)", ("gnu free documentation", "gfdl"), ("1.1", "1.2", "1.3")),
+    ("mpl", r"(?:mozilla public|mpl)", ("mozilla public", "mpl"), ("1.0", "1.1", "2.0")),
+    ("epl", r"(?:eclipse public|epl)", ("eclipse public", "epl"), ("1.0", "2.0")),
+    ("eupl", r"(?:european union public|eupl)", ("european union public", "eupl"), ("1.0", "1.1", "1.2")),
+    ("cddl", r"(?:common development and distribution|cddl)", ("common development and distribution", "cddl"), ("1.0", "1.1")),
+    ("cpl", r"common public", ("common public",), ("1.0",)),
+    ("artistic", r"(?:perl )?artistic", ("artistic",), ("1.0", "2.0")),
+    ("bsl", r"boost(?: software)?", ("boost",), ("1.0",)),
+    ("afl", r"academic free", ("academic free",), ("1.1", "2.0", "2.1", "3.0")),
+    ("osl", r"open software", ("open software",), ("1.0", "2.0", "2.1", "3.0")),
+    ("ecl", r"educational community", ("educational community",), ("1.0", "2.0")),
+    ("ofl", r"(?:sil )?open font", ("open font",), ("1.0", "1.1")),
+    ("php", r"php", ("php",), ("3.0", "3.01")),
+    ("psf", r"(?:python software foundation|psf)", ("python software foundation", "psf"), ("2.0",)),
+    ("ncsa", r"(?:university of illinois/)?ncsa(?: open source)?", ("ncsa",), ()),
+    ("ms-pl", r"microsoft public", ("microsoft public",), ()),
+    ("ms-rl", r"microsoft reciprocal", ("microsoft reciprocal",), ()),
+    ("qpl", r"q public", ("q public",), ("1.0",)),
+    ("vim", r"vim", ("vim",), ()),
+    ("postgresql", r"postgresql", ("postgresql",), ()),
+    ("openssl", r"openssl", ("openssl",), ()),
+    ("w3c", r"w3c(?: software)?", ("w3c",), ()),
+    ("upl", r"universal permissive", ("universal permissive",), ("1.0",)),
+    ("mulan-psl", r"mulan permissive software", ("mulan permissive software",), ("1.0", "2.0")),
+    ("odbl", r"(?:open data commons open database|open database|odbl)", ("open database", "odbl"), ("1.0",)),
+    ("odc-by", r"open data commons attribution", ("open data commons attribution",), ("1.0",)),
+    ("cecill", r"cecill", ("cecill",), ("1.0", "1.1", "2.0", "2.1")),
+    ("rpl", r"reciprocal public", ("reciprocal public",), ("1.1", "1.5")),
+    ("sspl", r"server side public", ("server side public",), ("1.0",)),
+    ("busl", r"business source", ("business source",), ("1.1",)),
 )
 _COMMONS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
 _COMMONS_NAMES = {"by": "attribution", "sa": "share[- ]?alike", "nd": "no[- ]?deriv(?:ative)?s?(?: works)?", "nc": "non[- ]?commercial"}
@@ -79,40 +78,60 @@ def _version(v: str) -> str:
     return major + (r"(?:\.0)?(?!\.?\d)" if minor == "0" else rf"\.{minor}(?!\d)")
 
 
-def rules() -> list[tuple[int, str, str, str]]:
-    """(priority, label, keyword, regex over lower-cased text), in order."""
+def rules() -> list[tuple[int, str, str, tuple[str, ...], str, str]]:
+    """(priority, label, group, words, further word, regex over lower-cased text), in order. Each match of the regex holds
+    one of the words and the further one."""
     out = []
     lead, end = r"(?<![0-9a-z])", r"(?![0-9a-z])"
     under = r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?"
-    for label, name, keyword, versions in _PLAIN:
-        out.append((1, label, "spdx", rf"spdx-license-identifier:\s*{label.replace('.', '[.]')}{end}"))
-        out.append((2, label, f"opensource.org/licenses/{label}", rf"opensource\.org/licenses/{label}{end}"))
-        out.append((3, label, keyword, rf"{under}{name}(?: licen[cs]e)?{end}"))
-        out.append((4, label, keyword, rf"{lead}{name} licen[cs]e{end}"))
+    for label, name, words, versions in _PLAIN:
+        out.append((1, label, "spdx", (label,), "", rf"spdx-license-identifier:\s*{label.replace('.', '[.]')}{end}"))
+        out.append((2, label, "opensource", (f"opensource.org/licenses/{label}",), "", rf"opensource\.org/licenses/{label}{end}"))
+        out.append((3, label, label, words, " under ", rf"{under}{name}(?: licen[cs]e)?{end}"))
+        out.append((4, label, label, words, " licen", rf"{lead}{name} licen[cs]e{end}"))
         for v in versions:
-            tail = rf"(?:,? \(?(?:version |v\.? ?)?|-v?){_version(v)}"
+            tail = rf"(?:,? \(?(?:version |v\.? ?)?|-?v?){_version(v)}"
             full = f"{label}-{v.removesuffix('.0')}"
-            out.append((1, full, "spdx", rf"spdx-license-identifier:\s*{label}-{v.replace('.', '[.]')}"))
-            out.append((2, full, keyword, rf"(?:{under}|{lead}){name}(?: licen[cs]e)?{tail}"))
+            out.append((1, full, "spdx", (f"{label}-{v}",), "", rf"spdx-license-identifier:\s*{label}-{v.replace('.', '[.]')}"))
+            followed = tuple(w + x for w in words for x in (" ", ", ", "-", "v", v[0]))
+            out.append((2, full, label, followed, v[0], rf"(?:{under}|{lead}){name}(?: licen[cs]e)?{tail}"))
     for kind in _COMMONS:
         name = "[- ]".join(_COMMONS_NAMES[x] for x in kind.split("-"))
         short = kind.replace("-", "[- ]")
-        out.append((4, f"cc-{kind}", "cc", rf"{lead}cc[- ]{short}(?![- ]?(?:nc|sa|nd)){end}"))
-        out.append((3, f"cc-{kind}", "creative commons", rf"creative commons {name}{end}"))
-        out.append((2, f"cc-{kind}", f"creativecommons.org/licenses/{kind}/", rf"creativecommons\.org/licenses/{kind}/"))
+        out.append((4, f"cc-{kind}", "cc", ("cc by", "cc-by"), "", rf"{lead}cc[- ]{short}(?![- ]?(?:nc|sa|nd)){end}"))
+        out.append((3, f"cc-{kind}", "cc", ("creative commons attribution",), "", rf"creative commons {name}{end}"))
+        out.append((2, f"cc-{kind}", "cc", (f"creativecommons.org/licenses/{kind}/",), "", rf"creativecommons\.org/licenses/{kind}/"))
         for v in _COMMONS_VERSIONS:
-            out.append((2, f"cc-{kind}-{v}", "cc", rf"{lead}cc[- ]{short}[- ]{v.replace('.', '[.]')}(?!\d)"))
-    out.append((2, "cc0-1.0", "cc0", rf"{lead}cc0(?:[- ]1\.0)?{end}"))
+            out.append((2, f"cc-{kind}-{v}", "cc", ("cc by", "cc-by"), v, rf"{lead}cc[- ]{short}[- ]{v.replace('.', '[.]')}(?!\d)"))
+    out.append((2, "cc0-1.0", "cc", ("cc0",), "", rf"{lead}cc0(?:[- ]1\.0)?{end}"))
     return sorted(out, key=lambda r: r[0])
 
 
 RULES = rules()
+#: Words of each group of rules: a match of one of its rules holds one of them.
+GROUPS = {label: words for label, _, words, _ in _PLAIN} | {
+    "spdx": ("spdx-license-identifier:",),
+    "opensource": ("opensource.org/licenses/",),
+    "cc": ("cc by", "cc-by", "cc0", "creative commons", "creativecommons.org/licenses/"),
+}
 
 
 def _rule_table() -> Column:
-    """RULES as one literal array; its size is that of this module's table."""
-    name = ("priority", "label", "keyword", "regex")
-    return F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(r, name))) for r in RULES))
+    """RULES by group as one literal array; its size is that of this module's table."""
+
+    def texts(xs) -> Column:
+        return F.array(*(F.lit(x) for x in xs))
+
+    def table(group: str) -> Column:
+        return F.array(
+            *(
+                F.struct(F.lit(priority).alias("priority"), F.lit(label).alias("label"), texts(words).alias("words"), F.lit(further).alias("further"), F.lit(regex).alias("regex"))
+                for priority, label, of, words, further, regex in RULES
+                if of == group
+            )
+        )
+
+    return F.array(*(F.struct(texts(words).alias("words"), table(group).alias("rules")) for group, words in GROUPS.items()))
 
 
 def _matches(low: Column, rule: Column) -> Column:
@@ -144,21 +163,19 @@ def _kept(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), zero, step, lambda acc: acc["out"])
 
 
-def detections(text: Column, rough: Column) -> Column:
-    """The kept detections of a text, by place: array of (start, before (minus end), priority, label). rough: the text in
-    lower case, for the prefilter."""
-    nothing = F.array().cast("array<struct<start:int,before:int,priority:int,label:string>>")
+def detections(text: Column) -> Column:
+    """The kept detections of a text, by place: array of (start, before (minus end), priority, label)."""
 
     def of(low: Column) -> Column:
-        gated = F.filter(_rule_table(), lambda r: F.contains(low, r["keyword"]))
+        def one_of(x: Column) -> Column:
+            return F.exists(x["words"], lambda w: F.contains(low, w))
+
+        groups = F.filter(_rule_table(), one_of)
+        gated = F.filter(F.flatten(F.transform(groups, lambda g: g["rules"])), lambda r: one_of(r) & F.contains(low, r["further"]))
         return _kept(F.flatten(F.transform(gated, lambda r: _matches(low, r))))
 
     # a transform of one element binds the lower-cased text, which is then made once
-    bound = F.element_at(F.transform(F.array(runtime.lower_ascii(text)), of), 1)
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.contains(rough, F.lit(g))
-    return F.when(gate, bound).otherwise(nothing)
+    return F.element_at(F.transform(F.array(runtime.lower_ascii(text)), of), 1)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -187,7 +204,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             "first_word": F.least(*firsts).cast("long"),
             "last_word": F.greatest(*lasts).cast("long"),
             "_base": F.array_compact(F.array(*labels)),
-            "detections": detections(x, rough),
+            "detections": detections(x),
         }
     )
     own = F.transform("detections", lambda d: d["label"])

@@ -170,6 +170,37 @@ def test_licenses_by_words(spark):
     assert got[6]["labels"] == "gpl-3" and got[4]["score"] == 0 and len(license_scan.RULES) > 200
 
 
+def _of_regex(rng, tree):
+    """A random text that the parsed regex matches, but for what surrounds it."""
+    out = []
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "IN":
+            op, arg = rng.choice(arg)
+            out.append(chr(arg) if str(op) == "LITERAL" else " ")
+        elif op == "SUBPATTERN":
+            out.append(_of_regex(rng, arg[3]))
+        elif op == "BRANCH":
+            out.append(_of_regex(rng, rng.choice(arg[1])))
+        elif op == "MAX_REPEAT":
+            out += (_of_regex(rng, arg[2]) for _ in range(rng.randint(arg[0], min(1, arg[1]))))
+    return "".join(out)
+
+
+def test_no_rule_is_lost_by_its_words(spark):
+    rng = random.Random(5)
+    texts = ["released under the MIT", "distributed under Apache 2.0", "MPL 2.0", "available under BSD-3-Clause", "open database license 1.0", "do what the fuck you want to public license"]
+    texts += {_of_regex(rng, re._parser.parse(r[-1])) for r in license_scan.RULES for _ in range(12)}
+    got = {r["doc_id"]: r for r in license_scan.scan(odd(spark, list(enumerate(texts))).repartition(8)).collect()}
+    for i, t in enumerate(texts):
+        hits = sorted((m.start(), -m.end(), r[0], r[1]) for r in license_scan.RULES for m in re.finditer(r[-1], t.lower()))
+        kept = [h for k, h in enumerate(hits) if not any(o[0] <= h[0] and o[1] <= h[1] and o[2] <= h[2] for o in hits[:k])]
+        assert [tuple(d) for d in got[i]["detections"]] == kept, t
+    assert [got[i]["labels"] for i in range(6)] == ["mit", "apache-2", "mpl-2", "bsd-3-clause", "odbl-1", "wtfpl"]
+
+
 def test_mix(spark, sample):
     rows = [tuple(r) for r in source_mix.mix(sample).select("doc_id", "source", "size", "source_size", "target", "copies", "taken").collect()]
     again = [tuple(r) for r in source_mix.mix(sample).select("doc_id", "source", "size", "source_size", "target", "copies", "taken").collect()]
