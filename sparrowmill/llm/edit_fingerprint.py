@@ -7,7 +7,8 @@ The fingerprint keeps SAMPLES characters of it (as one of 15 symbols each), at e
 fingerprints of unlike t are compared at the steps they share.
 
 Many texts walk at once, one numpy operation a step. `near_groups` finds near copies: bands of sampled symbols make
-candidates, each linked to the smallest document of its band, and the edit distance of the texts verifies them.
+candidates, and the edit distance of the texts verifies them, in rounds with new pivots for each band until all documents
+of a band that aren't in one component have been compared. `near_group` is the least document of a document's component.
 
 Defined cases: null texts count as empty; an empty text's fingerprint has no symbols, and two empty texts have likeness 1.
 Likeness is the share of agreeing symbols among steps where either text has one, less what unrelated texts share by
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import runtime
+from . import components, runtime
 
 SEED = 8
 PERIOD = 4096
@@ -237,29 +238,74 @@ def with_edits(docs: DataFrame) -> DataFrame:
     return streamed.where("role = 0").select(*RESULT).unionByName(finished)
 
 
+def _unlike(a: str, b: str) -> int:
+    """No more than the edit distance: each edit adds or takes away one character of a kind at most."""
+    more = np.bincount(Walker.codes(a), minlength=256) - np.bincount(Walker.codes(b), minlength=256)
+    return int(max(more[more > 0].sum(), -more[more < 0].sum()))
+
+
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """One less the edit distance by the longer text's length, or 0 if that is below NEAR anyway."""
+
+    def one(x: str, y: str) -> float:
+        size = max(1, len(x), len(y))
+        if x == y:
+            return 1.0
+        return 0.0 if 1.0 - _unlike(x, y) / size < NEAR else 1.0 - edit_distance(x, y) / size
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
-    """Verified links (doc_id, other, similarity): each document with the smallest one of each of its bands, where the edit
-    distance is at most a quarter of the longer text. Copies aren't expanded into all pairs."""
+    """Verified links (doc_id, other, similarity), other being the smaller, where the edit distance is at most a quarter of
+    the longer text: all documents that share a band and are near have one component. In each round the next pivots of a
+    band, twice as many as before, meet those of its documents that lie in other components; what has been a pivot is done
+    with. Copies aren't expanded into all pairs."""
     runtime.small_batches(docs.sparkSession)
 
     def run(batches):
         walker = Walker()
         for batch in batches:
-            keys = [bands(f) for f in walker.fingerprints(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "bands"])
+            found = batch.column(1).to_pylist()
+            keys = [bands(f) for f in walker.fingerprints(found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "size", "bands"])
 
     texts = docs.select("doc_id", runtime.text_or_empty().alias("text"))
-    banded = runtime.checkpointed(texts.mapInArrow(run, "doc_id long, bands array<long>")).select("doc_id", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("doc_id").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = banded.join(least, "band").where("other < doc_id").select("doc_id", "other").distinct()
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text")), "other")
-
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([1.0 - edit_distance(x, y) / max(1, len(x), len(y)) for x, y in zip(a, b)])
-
-    return both.select("doc_id", "other", similarity("text", "other_text").alias("similarity")).where(F.col("similarity") >= NEAR)
+    banded = runtime.checkpointed(texts.mapInArrow(run, "doc_id long, size long, bands array<long>")).select("doc_id", "size", F.explode("bands").alias("band"))
+    rest = banded.groupBy("band", "doc_id").agg(F.min("size").alias("least"), F.max("size").alias("most")).withColumn("component", F.col("doc_id"))
+    similarity = F.pandas_udf(_similarity, "double")
+    links, checked, pivots = None, None, 1
+    while True:
+        mixed = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+        ranked = runtime.checkpointed(rest.join(mixed, "band").withColumn("place", F.row_number().over(W.partitionBy("band").orderBy("doc_id"))))
+        if ranked.isEmpty():
+            break
+        own = ranked.where(F.col("place") <= pivots).select("band", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "component", "least", "most")))
+        met = ranked.join(own, "band").where("p_doc_id < doc_id AND component <> p_component")
+        # of repeated doc_ids the nearest sizes count
+        met = met.where(f"least >= {NEAR} * p_least AND p_least >= {NEAR} * least OR least < most OR p_least < p_most")
+        pairs = met.select("doc_id", F.col("p_doc_id").alias("other")).distinct()
+        if checked is not None:
+            pairs = pairs.join(checked, ["doc_id", "other"], "left_anti")
+        pairs = runtime.checkpointed(pairs)
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text")), "other")
+        new = runtime.checkpointed(both.select("doc_id", "other", similarity("text", "other_text").alias("similarity")).where(F.col("similarity") >= NEAR))
+        links = new if links is None else links.unionByName(new)
+        rest = ranked.where(F.col("place") > pivots).drop("place")
+        if not new.isEmpty():
+            labels = components.components(links.select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
+            rest = rest.join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("now")), "doc_id", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+        pivots *= 2
+    return links if links is not None else docs.sparkSession.createDataFrame([], "doc_id long, other long, similarity double")
+
+
+def with_groups(docs: DataFrame) -> DataFrame:
+    """with_edits(docs) and near_group, which is the document's own doc_id if nothing is near it."""
+    links = near_groups(docs).select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+    groups = components.components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("near_group"))
+    return with_edits(docs).join(groups, "doc_id", "left").withColumn("near_group", F.coalesce("near_group", "doc_id"))
 
 
 def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_edits(runtime.documents(spark, sf_dir))
+    return with_groups(runtime.documents(spark, sf_dir))

@@ -267,6 +267,18 @@ def test_fingerprints_by_a_plain_walk(spark):
     assert edit_fingerprint.with_edits(odd(spark).limit(0)).count() == 0
 
 
+def test_near_copies_meet_in_bands_of_a_lesser_third(spark, monkeypatch):
+    monkeypatch.setattr(edit_fingerprint, "bands", lambda f: [1])
+    rng = random.Random(9)
+    words = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)) for _ in range(4)]
+    rows = [(1, words[0]), (2, words[1]), (3, words[1] + " x"), (4, words[2]), (5, words[3]), (6, words[2][:-3]), (7, words[3]), (8, "q" * 40)]
+    docs = odd(spark, rows)
+    links = {(r["doc_id"], r["other"]) for r in edit_fingerprint.near_groups(docs).collect()}
+    assert links == {(3, 2), (6, 4), (7, 5)}
+    assert {r["doc_id"]: r["near_group"] for r in edit_fingerprint.with_groups(docs).collect()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 4, 7: 5, 8: 8}
+    assert edit_fingerprint.near_groups(odd(spark).limit(0)).count() == 0
+
+
 def test_repeated_windows_by_brute_force(spark, sample):
     docs = {r["doc_id"]: (r["text"] or "").encode().split() for r in sample.collect()}
     first = {}
