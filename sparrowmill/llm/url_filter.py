@@ -11,7 +11,7 @@ The rules come first: a rule fits its host and all subdomains if the path starts
 Labels are the rows of `labels` whose doc_id is the page_id; bad is a quality of 0 or a toxic of 1.
 
 Everything is counted on distinct (host, path) pairs, pre-aggregated, and node tables are joined by salted keys, so that
-a hot host is dealt out. Paths deeper than DEPTH segments keep their rest as one last segment.
+a hot host is dealt out. The tree is walked a level at a time, to the last segment of each path.
 
 Defined cases: a null url, or one without "://", has an empty host and path. No rule fits it, and it forms a template of
 its own. Pages without labels count as unlabelled; repeated labels of a page count as bad if any is. Without any labels
@@ -27,7 +27,6 @@ from . import runtime
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DEPTH = 4
 FEW = 8
 SIGMAS = 3.0
 PRIOR = 8.0
@@ -59,23 +58,28 @@ def _salted_join(rows: DataFrame, nodes: DataFrame, keys: list[str], how: str =
 
 def templates(paths: DataFrame) -> DataFrame:
     """paths (host, path, n_labelled, n_bad) with their template."""
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    rest = F.array_join(F.slice(parts, DEPTH, F.greatest(F.size(parts), F.lit(1))), "/")
-    segments = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(rest))).otherwise(parts)
+    segments = F.filter(F.split("path", "/"), lambda x: x != "")
     rows = paths.withColumns({"segments": segments, "template": F.lit("")})
-    for level in range(1, DEPTH + 1):
-        raw = F.when(F.size("segments") >= level, F.get("segments", F.lit(level - 1)))
+    done, level = None, 0
+    while True:
+        # paths that end here take no further step; their nodes don't count as branches
+        ended = rows.where(F.size("segments") <= level).drop("segments")
+        done = ended if done is None else done.unionByName(ended)
+        rows = rows.where(F.size("segments") > level)
+        if rows.isEmpty():
+            return done
+        level += 1
+        raw = F.get("segments", F.lit(level - 1))
         shape = F.when(F.regexp_like(raw, F.lit(_VARIABLE)), F.concat(F.lit("*"), F.regexp_extract(raw, r"(\.[a-z]{2,5})?$", 0))).otherwise(raw)
-        rows = rows.withColumn("segment", F.coalesce(shape, F.lit("")))
+        rows = rows.withColumn("segment", shape)
         node = rows.groupBy("host", "template", "segment").agg(F.sum("n_labelled").alias("labelled"), F.sum("n_bad").alias("bad"))
-        parent = node.where("segment <> ''").groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.count("*").alias("branches"))
+        parent = node.groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.count("*").alias("branches"))
         rate = F.col("all_bad") / F.greatest(F.col("all_labelled"), F.lit(1))
         error = F.sqrt(rate * (1 - rate) * F.col("labelled") + 1)
         alike = (F.col("branches") > FEW) & (F.abs(F.col("bad") - rate * F.col("labelled")) < SIGMAS * error)
-        step = F.when(F.col("segment") == "", "").when(F.col("segment").startswith("*"), F.concat(F.lit("/"), "segment")).when(alike, "/*").otherwise(F.concat(F.lit("/"), "segment"))
-        nodes = node.join(parent, ["host", "template"], "left").select("host", "template", "segment", F.coalesce(step, F.concat(F.lit("/"), "segment")).alias("step"))
-        rows = _salted_join(rows, nodes, ["host", "template", "segment"]).withColumn("template", F.concat("template", "step")).drop("step", "segment")
-    return rows.drop("segments")
+        step = F.when(F.col("segment").startswith("*"), F.concat(F.lit("/"), "segment")).when(alike, "/*").otherwise(F.concat(F.lit("/"), "segment"))
+        nodes = node.join(parent, ["host", "template"]).select("host", "template", "segment", step.alias("step"))
+        rows = runtime.checkpointed(_salted_join(rows, nodes, ["host", "template", "segment"]).withColumn("template", F.concat("template", "step")).drop("step", "segment"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:

@@ -157,6 +157,14 @@ def test_urls(spark):
     assert url_filter.judge(bad.limit(0), marks).count() == 0
 
 
+def test_deep_sections_of_urls(spark):
+    for top in ("a/b/c", "a/b/c/d/e/f/g"):
+        urls = [(i, f"http://h.net/{top}/{'spam' if i < 60 else 'good'}/{i}") for i in range(160)]
+        marks = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(160)], "doc_id long, quality int, toxic int")
+        got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), marks).collect()}
+        assert all((got[i]["verdict"], got[i]["template"]) == (("block", f"/{top}/spam/*") if i < 60 else ("allow", f"/{top}/good/*")) for i in range(160))
+
+
 def test_licenses_by_words(spark):
     texts = ["Under the MIT-license. under THE mit license", "underx the mit license", "Apache License, Version 2.0", "CC BY-NC 4.0 é", None, "", "GNU General Public License, version 3."]
     got = {r["doc_id"]: r for r in license_scan.scan(odd(spark, list(enumerate(texts)))).collect()}
