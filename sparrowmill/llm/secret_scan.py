@@ -8,18 +8,23 @@ document it came from, so that a secret found deep inside is reported at each st
 
 Defined cases: null and empty texts have no spans. Spans are half-open, in code points, each once, ordered by start, then
 by kind as in KINDS. Secrets that overlap in different kinds are all reported. Decoded bytes that are no printable UTF-8
-are no layer. Decompression stops at MAX_INFLATED bytes a layer (`truncated` counts such layers), which bounds a worker's
-memory against bombs.
+are no layer. Compressed data are read to their end, all gzip members of them; `truncated` counts those that break off or
+are damaged before, of which what comes out is a layer (data damaged in their first member are none). A decompressed
+layer is read twice, once to see that it is printable, then in parts of about PART bytes, each ending behind a character
+that no pattern can hold; so a worker holds a part, and more only of a run without any such character. As all of the
+layer stands for one span, its parts give the same spans as the whole, and what they encode counts as a layer for each.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from . import runtime
 
 KINDS = ("assign", "access", "hex")
-MAX_INFLATED = 16 << 20
+PART, BLOCK = 16 << 20, 1 << 16
 #: Of padded text of 16 characters at least: 12 bytes, as the shortest base match has, or a compressed 10 that hold 24.
 MIN_BASE64 = 14
 
@@ -39,6 +44,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ of 24 characters or more: a match begins where its run begins
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: What no match of the patterns holds.
+_APART = re.compile(r"""[^A-Za-z0-9+/_.=\-"'\x20:\\{}&#;%]""")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
 
 
@@ -72,12 +79,16 @@ class Origin:
         return self._at(start)[0], self._at(end - 1)[1]
 
 
+def _is_printable(text: str) -> bool:
+    return text.replace("\t", "").replace("\n", "").replace("\r", "").isprintable()
+
+
 def _printable(data: bytes) -> str | None:
     try:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    return text if text and _is_printable(text) else None
 
 
 def _unescape(text: str, origin: Origin, pattern: re.Pattern, decode) -> tuple[str, Origin] | None:
@@ -134,15 +145,72 @@ def _unicode(m: re.Match):
     return chr(value), [(0, 0, len(m[0]))]
 
 
-def inflate(data: bytes) -> tuple[bytes, bool] | None:
-    """Decompressed gzip or zlib data, and whether they were cut at MAX_INFLATED."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
+def _compressed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0
+
+
+def inflate(data: bytes, broken: list[bool]) -> Iterator[bytes]:
+    """Decompressed gzip or zlib data, at most PART bytes at a time, of one member after the other; broken gets an entry if
+    they break off. Raises zlib.error if the first member is damaged."""
+    at = 0
+    while _compressed(data[at : at + 2]):
+        d, first = zlib.decompressobj(47), not at
+        while not d.eof:
+            block = data[at : at + BLOCK]
+            try:
+                out = d.decompress(block, PART)
+            except zlib.error:
+                if first:
+                    raise
+                broken.append(True)
+                return
+            at += len(block) - len(d.unconsumed_tail) - len(d.unused_data)
+            if out:
+                yield out
+            elif not block and not d.eof:
+                broken.append(True)
+                return
+        while data[at : at + 1] == b"\0":
+            at += 1
+
+
+def _parts(data: bytes) -> Iterator[str]:
+    """Decompressed printable text in parts between which no match of a pattern lies."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    held: list[str] = []
+    size = 0
+    for chunk in inflate(data, []):
+        text = decoder.decode(chunk)
+        size += len(text)
+        at = 0
+        if size >= PART:
+            # held texts have no place to cut once they are PART long, so only new ones are searched
+            place = next((i for i in range(len(text) - 1, -1, -1) if _APART.match(text, i)), None)
+            if place is not None:
+                at = place + 1
+                yield "".join((*held, text[:at]))
+                held, size = [], len(text) - at
+        if at < len(text):
+            held.append(text[at:])
+    if held:
+        yield "".join(held)
+
+
+def opened(data: bytes) -> tuple[Iterator[str], bytes, bool] | None:
+    """Of compressed printable text its parts, a digest, and whether it breaks off; None if it isn't printable. Raises
+    zlib.error if the data aren't compressed."""
+    decoder, digest, broken, first, n = codecs.getincrementaldecoder("utf-8")(), hashlib.blake2b(digest_size=16), [], "", 0
     try:
-        d = zlib.decompressobj(47)
-        return d.decompress(data, MAX_INFLATED), bool(d.unconsumed_tail)
-    except zlib.error:
+        for chunk in inflate(data, broken):
+            text = decoder.decode(chunk)
+            if not _is_printable(text):
+                return None
+            digest.update(chunk)
+            first, n = text if not n else "", n + 1
+        decoder.decode(b"", True)
+    except UnicodeDecodeError:
         return None
+    return (iter((first,)) if n == 1 else _parts(data), digest.digest(), bool(broken)) if n else None
 
 
 def _base64(token: str) -> bytes | None:
@@ -159,41 +227,54 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     """Base spans, all spans, the number of layers beside the text, the deepest layer, and the truncated ones."""
     base = sorted(set(base_spans(text)))
     found = set(base)
-    work: list[tuple[str, Origin, int]] = [(text, Origin([(0, 0, None)]), 0)]
+    work: list[tuple[Iterator[str], Origin, int]] = [(iter((text,)), Origin([(0, 0, None)]), 0)]
     seen: set[tuple] = set()
     layers = deepest = cut = 0
     while work:
-        layer, origin, depth = work.pop()
+        parts, origin, depth = work[-1]
+        layer = next(parts, None)
+        if layer is None:
+            work.pop()
+            continue
         deepest = max(deepest, depth)
         if depth:
-            layers += 1
             for start, kind, end in base_spans(layer):
                 s, e = origin.span(start, end)
                 found.add((s, kind, e))
-        new: list[tuple[str, Origin]] = []
+        new: list[tuple[Iterator[str], bytes, Origin]] = []
         if "%" in layer and (x := _unescape(layer, origin, _PERCENT, _percent)):
-            new.append(x)
+            new.append(_whole(*x))
         if ("\\" in layer or "&#" in layer) and (x := _unescape(layer, origin, _UNICODE, _unicode)):
-            new.append(x)
+            new.append(_whole(*x))
         for m in _BASE64.finditer(layer):
             data = _base64(m[0])
             if data is None:
                 continue
-            opened = inflate(data)
-            if opened is not None:
-                data, more = opened
-                cut += more
+            where = Origin([(0, *origin.span(m.start(), m.end()))])
+            if _compressed(data):
+                try:
+                    if (got := opened(data)) is not None:
+                        cut += got[2]
+                        new.append((*got[:2], where))
+                        continue
+                except zlib.error:
+                    pass
             inner = _printable(data)
             if inner is not None:
-                new.append((inner, Origin([(0, *origin.span(m.start(), m.end()))])))
-        for inner, where in new:
-            key = (hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *where.pieces)
+                new.append(_whole(inner, where))
+        for inner, digest, where in new:
+            key = (digest, *where.pieces)
             if key not in seen:
                 seen.add(key)
+                layers += 1
                 work.append((inner, where, depth + 1))
     return base, sorted(found), layers, deepest, cut
 
 
+def _whole(text: str, where: Origin) -> tuple[Iterator[str], bytes, Origin]:
+    return iter((text,)), hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), where
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 

@@ -131,6 +131,25 @@ def test_short_and_foreign_base64_is_decoded(secret):
     assert secret_scan.scan("dG9rZW49aGVsbG8=")[1] == []
 
 
+def test_compressed_layers_are_read_to_their_end(monkeypatch):
+    long = gzip.compress(("é, " * 40 + "\n").encode() * (1 << 18) + SECRET.encode())
+    members = gzip.compress(b"one, ") + gzip.compress(b"two, ") + gzip.compress(SECRET.encode())
+    for data in (long, members, members + b"\0" * 9, zlib.compress(SECRET.encode() + b" " * (17 << 20))):
+        token = base64.b64encode(data).decode()
+        assert secret_scan.scan(f"x {token} y")[1:] == ([(2, 0, 2 + len(token))], 1, 1, 0)
+    assert secret_scan.scan(base64.b64encode(members[:-9]).decode())[4] == 1
+    # whatever a part's size, the spans are those of the whole
+    inner = base64.b64encode(SECRET.encode()).decode()
+    for text in (f"日本 {inner}, é", "a, " * 9 + SECRET, "q" * 70 + "\t" + urllib.parse.quote(SECRET, safe=""), "f" * 99, "password  " + " " * 50 + "= 'abcdefgh'"):
+        token = base64.b64encode(gzip.compress(text.encode())).decode()
+        want = secret_scan.scan(token)[1]
+        assert want
+        for part in (1, 2, 7, 30):
+            monkeypatch.setattr(secret_scan, "PART", part)
+            assert secret_scan.scan(token)[1] == want
+        monkeypatch.undo()
+
+
 def test_base_secrets_by_plain_regexes(spark):
     rows = [(i, t) for i, t in enumerate(["PASSWORD: 'hunter22' AKIA" + "B" * 16, "api-key=abcdef", "apikey=abc", "f" * 24 + "g" + "0" * 23, "ſecret=abcdefg", None])]
     got = {r["doc_id"]: r for r in secret_scan.find(odd(spark, rows), ["doc_id"]).collect()}
