@@ -2,27 +2,33 @@
 
 A document's set holds its distinct SHINGLE-word shingles. Two documents link when 100 * |intersection| >= 75 * |union|.
 
-Equal sets are merged first, by aggregation of their signatures. Of the rest, light sets (of at most `boundary()` shingles)
-are enumerated: each gives every subset of the size that a link with a partner of allowed size needs, and a link is a
-common subset. Heavy sets are scanned: each gives its prefix, the rarest quarter of its shingles in an order that all sets
-share, one of which any link must have in common. The boundary is where a set's subsets get more than its prefix entries.
-Both kinds of keys make inverted lists.
+Equal sets are one class, told by aggregation of their signatures; all that follows works on classes. Shingles are dealt by
+hash to parts, packed as bytes, so that each part learns which of its shingles more than one class holds, and how many do.
+Only those can be in an intersection: a class with fewer of them than three quarters of its set links with nothing and goes.
+In the others' sets the shingles that no other class holds come first, then the rarer before the more common.
 
-A list isn't expanded into all its pairs. First each compares its members with one pivot, chosen by hash, so that lists with
-the same members have one of PIVOTS pivots: this links the many near copies of one text at once. Size and place bounds come
-before. Then members of a list whose components still differ are compared with each other, so that no link between
-components is lost; links within a component change nothing.
-Candidates are first held against bitmaps of their sets (a bit of one set that the other lacks is a shingle that it lacks,
-which bounds the intersection from above), then verified on the whole texts' shingles.
+Light classes (of at most `boundary()` shingles) are enumerated: each gives every subset of the size that a link with a
+partner of allowed size needs, and a link is a common subset. Heavy ones are scanned: each gives its prefix, the quarter of
+its shingles that comes first, one of which any link must have in common. The boundary is where a set's subsets cost more
+than the entries that its prefix meets in the inverted lists, whose mean length is measured. Both kinds of keys make lists.
 
-The shared order puts shingles that very many documents hold last, told by a table of ORDER_BUCKETS counters (fixed size,
-broadcast). It is a heuristic: any shared order gives the same links.
+A list isn't expanded into all its pairs. First each compares its members with one pivot, chosen by hash, so that lists of
+the same members share a pivot: this links the many near copies of one text at once. Then lists whose members lie in
+different components are scanned in cells of a bounded size (see `cells`), and within a cell only members of different
+components are held against each other, by bounds on sizes, places and bitmaps of the sets (a bit of one set that the other
+lacks is a shingle that it lacks). What passes is verified on the sets, so that no link between components is lost; links
+within a component change nothing.
 
-Shingles are 64-bit hashes of their words; equal sets are told by 128 bits and the size.
+Shingles that HOT_HERE classes of one flush hold skip their part (which only gets a mark for each flush) and come last in the
+order, by ORDER_BUCKETS counters of a fixed size: so no part has more than HOT_HERE entries a flush of one shingle.
+
+Shingles are 64-bit hashes of their words; equal sets are told by 128 bits and the size. Lists and bounds work on 48 bits of
+a shingle and its part, links are those of these hashes.
 
 Defined cases: null and empty texts have no shingles, n_shingles 0 and link with nothing; a text under SHINGLE words has
-its whole sequence as its one shingle. Repeated rows are copies of each other; rows of one doc_id with unlike texts are
-one document in links, each with its own n_shingles. An empty table gives no rows.
+its whole sequence as its one shingle. Repeated rows are copies of each other, and rows of one doc_id with unlike texts are
+documents of their own that share the id: a component's id is the smallest doc_id of its rows. An empty table gives no rows.
+Other columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,18 +38,25 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import runtime
+from . import cells, runtime
 from .components import components
 from .wordhash import WordHasher, mix, signed
 
 SHINGLE = 5
 PIVOTS = 2
+MOST_LIGHT = 14  # more shingles than that are never light; a bound on a row's subsets, which changes no result
+FLUSH_SHINGLES = 1 << 20
+PART_SHINGLES = 2 << 20
+LEAST_PARTS = 64
+HOT_HERE = 32
+HOT_RANK = 1 << 24
 ORDER_BUCKETS = 1 << 20
 BITMAP_MOST = 1 << 16
-LIST_COST = 2.0  # entries of an inverted list that one prefix entry meets, on average
 
 
 def needed(a: int, b: int) -> int:
@@ -60,10 +73,10 @@ def subset_sizes(n: int, most: int) -> list[int]:
     return sorted({needed(n, m) for m in range(-(-3 * n // 4), min(most, 4 * n // 3) + 1)})
 
 
-def boundary() -> int:
-    """The largest size whose subsets are no more than what its prefix costs."""
+def boundary(list_length: float) -> int:
+    """The largest size whose subsets cost no more than its prefix, each entry of which meets list_length others."""
     n = 1
-    while sum(comb(n + 1, s) for s in subset_sizes(n + 1, n + 1)) <= prefix_size(n + 1) * (1 + LIST_COST):
+    while n < MOST_LIGHT and sum(comb(n + 1, s) for s in subset_sizes(n + 1, n + 1) if s <= n + 1) <= prefix_size(n + 1) * (1 + list_length):
         n += 1
     return n
 
@@ -90,25 +103,37 @@ class Shingles:
         return out
 
 
-def bitmap(x: np.ndarray) -> bytes:
-    """A bit for each shingle's low bits, in 2 bits a shingle at least; sets of very many shingles have BITMAP_MOST bits."""
+def signature(x: np.ndarray) -> np.uint64:
+    return x.sum(dtype=np.uint64)
+
+
+def bitmap(x: np.ndarray, n: int) -> bytes:
+    """A bit for the low bits of each shingle of x, in 2 bits or more for each of the n shingles of the set; sets of very many
+    shingles have BITMAP_MOST bits."""
     size = 64
-    while size < min(2 * len(x), BITMAP_MOST):
+    while size < min(2 * n, BITMAP_MOST):
         size *= 2
     out = np.zeros(size, np.uint8)
     out[(x & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def may_reach(a: bytes, n: int, b: bytes, m: int) -> bool:
-    """Whether sets of n and m shingles with these bitmaps may link. A bitmap is folded to the size of a smaller one."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
-    return 7 * most >= 3 * (n + m)
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (a row of 64-bit words each) at the size of smaller ones."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def may_link(n, place, other_n, other_place):
+    """Bounds on list members, as numbers or columns: their sizes, and how much can still be common after their places in the
+    order, where a place below 0 tells nothing. Of the places before a common shingle at most as many are common as the
+    lesser place."""
+    least, most = (np.minimum, np.maximum) if isinstance(n, (int, np.ndarray)) else (F.least, F.greatest)
+    fits = 4 * least(n, other_n) >= 3 * most(n, other_n)
+    common = least(place, other_place) + least(n - place, other_n - other_place)
+    return fits & ((place < 0) | (other_place < 0) | (7 * common >= 3 * (n + other_n)))
 
 
 def _bytes(column) -> list[bytes]:
@@ -116,159 +141,274 @@ def _bytes(column) -> list[bytes]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the signature (s1, s2) and a bitmap of each row's set; and rows (bucket, n) of how many of a task's sets
-    have a shingle in one of ORDER_BUCKETS, for buckets well above the usual."""
-    names = ["doc_id", "n_shingles", "s1", "s2", "bucket", "n", "bits"]
+    """doc_id, n_shingles and the signature (s1, s2) of each row's set; and rows (bucket, n) of how many of a task's sets have
+    a shingle in one of ORDER_BUCKETS, for buckets well above the usual."""
+    names = ["doc_id", "n_shingles", "s1", "s2", "bucket", "n"]
 
     def run(batches):
-        shingles, counts = Shingles(), np.zeros(ORDER_BUCKETS, np.int64)
+        shingles, counts = Shingles(), np.zeros(ORDER_BUCKETS, np.int32)
         salt = np.uint64(0x5851F42D4C957F2D)
         for batch in batches:
             sets = shingles.sets(_bytes(batch.column(1)))
-            one = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64)
-            two = np.array([mix(x ^ salt).sum(dtype=np.uint64) for x in sets], np.uint64)
+            one = np.array([signature(x) for x in sets], np.uint64)
+            two = np.array([signature(mix(x ^ salt)) for x in sets], np.uint64)
             for x in sets:
                 buckets = (x & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64)
                 counts[buckets] += 1  # two shingles of a set in one bucket count once
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(signed(one)), pa.array(signed(two)), none, none, pa.array([bitmap(x) for x in sets], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(signed(one)), pa.array(signed(two)), none, none], names=names)
         many = np.flatnonzero(counts > 8 + 4 * counts.mean())
         none = pa.nulls(len(many), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(many), pa.array(counts[many]), pa.nulls(len(many), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(many), pa.array(counts[many].astype(np.int64))], names=names)
 
-    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in names[:-1]) + ", bits binary")
+    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def common_shingles(signed_rows: DataFrame) -> np.ndarray:
+def common_shingles(rows: DataFrame) -> np.ndarray:
     """For each of ORDER_BUCKETS how common its shingles are, as a power of 2 (0: not seen to be common)."""
-    out = np.zeros(ORDER_BUCKETS, np.uint8)
-    sums = signed_rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # ORDER_BUCKETS rows at most
+    out = np.zeros(ORDER_BUCKETS, np.int32)
+    sums = rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # ORDER_BUCKETS rows at most
     if len(sums):
         out[sums.column("bucket").to_numpy()] = np.floor(np.log2(sums.column("n").to_numpy())) + 1
     return out
 
 
-def entries(docs: DataFrame, common: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
-    """The inverted lists' entries: token, doc_id, n (the set's size) and place (of the token in the set's order). With a
-    bitmap of tokens, only those that may be among them."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-    only = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
-    light = boundary()
+_PACKED = ("part", "keys", "sizes", "counts", "shingles", "marks")
+
+
+def _short(shingles: np.ndarray) -> bytes:
+    return shingles.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(column, part: int, bits: int) -> np.ndarray:
+    """The shingles of packed rows: 48 bits of each, and its part's number as the highest ones."""
+    some = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(some), 8), np.uint8)
+    out[:, :6] = some
+    return out.view(np.uint64).ravel() | np.uint64(part << (64 - bits))
+
+
+def scattered(docs: DataFrame, bits: int) -> DataFrame:
+    """The classes' shingles by parts (the first `bits` bits of a shingle), a row for each flush and part: as bytes, the
+    classes' keys and sizes, how many of their shingles are here, and these; and marks, the shingles that are hot here.
+    Entries of hot ones are rows of a part with a negative number, one for each flush."""
+
+    def pack(held: dict[int, np.ndarray], part_id: int):
+        keys, sizes = np.array(list(held), np.uint64), np.array([len(x) for x in held.values()], np.int32)
+        flat, doc = np.concatenate(list(held.values())), np.repeat(np.arange(len(held)), sizes)
+        part = (flat >> np.uint64(64 - bits)).astype(np.int64)
+        _, back, times = np.unique(flat, return_inverse=True, return_counts=True)
+        hot = times[back] >= HOT_HERE
+        part[hot] = -1
+        order = np.argsort(part.astype(np.int16) if bits < 15 else part, kind="stable")
+        border = np.searchsorted(part[order], np.arange(-1, (1 << bits) + 1))
+        marks = np.unique(flat[hot])
+        at = np.searchsorted((marks >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+        rows = []
+        for p in range(-1, 1 << bits):
+            seg = order[border[p + 1] : border[p + 2]]
+            own = marks[at[p] : at[p + 1]] if p >= 0 else marks[:0]
+            if not len(seg) and not len(own):
+                continue
+            first = np.flatnonzero(np.diff(doc[seg], prepend=-1))
+            here = doc[seg][first]
+            counts = np.diff(first, append=len(seg)).astype(np.int32)
+            some = flat[seg]
+            rows.append((p if p >= 0 else part_id, keys[here].tobytes(), sizes[here].tobytes(), counts.tobytes(), _short(some) if p >= 0 else some.tobytes(), _short(own)))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6))], names=list(_PACKED))
 
     def run(batches):
-        shingles = Shingles()
+        shingles, held, size = Shingles(), {}, 0
+        number = -1 - (TaskContext.get().partitionId() << 24)
         for batch in batches:
-            tokens, places, sizes, counts = [], [], [], []
             for x in shingles.sets(_bytes(batch.column(1))):
-                n, own, at = len(x), [], []
-                if 4 * n >= 3 * (light + 1):
-                    rank = shared.value[(x & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64)]
-                    order = np.lexsort((x, rank))[: prefix_size(n)]
-                    own.append(x[order])
-                    at.append(np.arange(len(order)))
-                if 0 < n <= light:
-                    for size in subset_sizes(n, light):
-                        if size <= n:
-                            some = np.array(list(combinations(x.tolist(), size)), np.uint64)
-                            own.append(mix(some.sum(axis=1, dtype=np.uint64) + np.uint64(size)))
-                            at.append(np.full(len(some), -1))
-                if only is not None:
-                    pass_ = [runtime.in_bitmap(only.value, x) for x in own]
-                    own, at = [x[p] for x, p in zip(own, pass_)], [x[p] for x, p in zip(at, pass_)]
-                tokens += own
-                places += at
-                counts.append(sum(map(len, own)))
-                sizes.append(n)
-            doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(signed(np.concatenate(tokens)) if tokens else np.zeros(0, np.int64)),
-                    pa.array(doc, pa.int64()),
-                    pa.array(np.repeat(np.array(sizes, np.int32), counts)),
-                    pa.array((np.concatenate(places) if places else np.zeros(0)).astype(np.int32)),
-                ],
-                names=["token", "doc_id", "n", "place"],
-            )
-
-    return docs.mapInArrow(run, "token long, doc_id long, n int, place int")
+                if len(x) and (key := int(signature(x))) not in held:
+                    held[key] = x
+                    size += len(x)
+                    if size >= FLUSH_SHINGLES:
+                        yield pack(held, number)
+                        held, size, number = {}, 0, number - 1
+        if held:
+            yield pack(held, number)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "part long, keys binary, sizes binary, counts binary, shingles binary, marks binary")
+
+
+def _binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Arrays of so many numbers each, out of one, as bytes."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * flat.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def repeated(packed: DataFrame, bits: int, common: np.ndarray) -> DataFrame:
+    """Per part and class: key, n (its set's size), and its shingles that other classes hold too, with their ranks."""
+    shared = packed.sparkSession.sparkContext.broadcast(common)  # of a fixed size
+    names = ["key", "n", "m", "shingles", "ranks"]
+
+    def hot_rank(x: np.ndarray) -> np.ndarray:
+        return HOT_RANK + shared.value[(x & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64)]
+
+    def run(part, table):
+        part = part[0].as_py()
+        keys, sizes, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("sizes", np.int32), ("counts", np.int32)))
+        doc = np.repeat(np.arange(len(keys)), counts)
+        if part < 0:
+            flat = np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint64)
+            # as the parts cut their shingles
+            flat = flat & np.uint64((1 << 48) - 1 | ((1 << bits) - 1) << 64 - bits)
+            rank = hot_rank(flat)
+        else:
+            flat, marks = _long(table.column("shingles"), part, bits), np.unique(_long(table.column("marks"), part, bits))
+            # a class may come from several flushes; its shingles of this part are the same but for hot ones, which come by themselves
+            once = np.zeros(len(keys), bool)
+            once[np.unique(keys, return_index=True)[1]] = True
+            keep = once[doc]
+            flat, doc = flat[keep], doc[keep]
+            order = np.argsort(flat, kind="stable")
+            flat, doc = flat[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+            times = np.diff(first, append=len(flat))
+            hot = np.isin(flat[first], marks, assume_unique=True)
+            rank = np.where(hot, hot_rank(flat[first]), np.minimum(times, HOT_RANK - 1))
+            keep = np.repeat(hot | (times > 1), times)
+            rank = np.repeat(rank, times)[keep]
+            flat, doc = flat[keep], doc[keep]
+            order = np.argsort(doc, kind="stable")
+            flat, doc, rank = flat[order], doc[order], rank[order]
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        here, counts = doc[first], np.diff(first, append=len(doc))
+        return pa.table([pa.array(signed(keys[here])), pa.array(sizes[here]), pa.array(counts.astype(np.int32)), _binaries(flat, counts), _binaries(rank.astype(np.int32), counts)], names=names)
+
+    return packed.groupBy("part").applyInArrow(run, "key long, n int, m int, shingles binary, ranks binary")
+
+
+def candidates(docs: DataFrame, n_shingles: int, common: np.ndarray) -> DataFrame:
+    """The classes that may link: key, n, their shingles that other classes hold (as bytes, in order), a bitmap of these, and
+    how many entries of lists their prefix has and meets."""
+    bits = max(LEAST_PARTS, n_shingles // PART_SHINGLES).bit_length() - 1
+    found = repeated(scattered(docs, bits), bits, common)
+    # summed before they move; a hot shingle may be counted twice here, from two flushes
+    sums = found.groupBy("key").agg(F.first("n").alias("n"), F.sum("m").alias("m"), F.collect_list("shingles").alias("shingles"), F.collect_list("ranks").alias("ranks")).where("4 * m >= 3 * n")
+    names = ["key", "n", "m", "shingles", "bits", "entries", "met"]
 
-
-def _may_link(n, place, other_n, other_place):
-    """Bounds on two list members: their sizes, and how much can still be common after their places in the order."""
-    fits = (4 * F.least(n, other_n) >= 3 * F.greatest(n, other_n))
-    # places before a common token may be common too, at most as many as the lesser place
-    most = F.least(place, other_place) + F.least(n - place, other_n - other_place)
-    return fits & ((place < 0) | (other_place < 0) | (7 * most >= 3 * (n + other_n)))
-
-
-def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose bitmaps allow a link."""
-    sets = sets.select("doc_id", F.col("n_shingles").alias("n"), "bits")
-    sets = runtime.IdFilter(pairs, "a", "b").passing(sets, "doc_id")
-    left, right = sets.toDF("a", "a_n", "a_bits"), sets.toDF("b", "b_n", "b_bits")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_n", "b_n", "a_bits", "b_bits")
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, n, some, ranks in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                flat, at = np.unique(np.frombuffer(b"".join(some), np.uint64), return_index=True)
+                rank = np.frombuffer(b"".join(ranks), np.int32)[at]
+                if 4 * len(flat) < 3 * n:
+                    continue
+                order = np.lexsort((flat, rank))
+                flat, rank = flat[order], rank[order]
+                prefix = rank[: max(0, prefix_size(n) - (n - len(flat)))]
+                met = np.where(prefix < HOT_RANK, prefix, 2.0 ** np.minimum(40, prefix - HOT_RANK))
+                rows.append((key, n, len(flat), flat.tobytes(), bitmap(flat, n), len(prefix), float(met.sum())))
+            columns = list(zip(*rows)) if rows else [()] * 7
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return sums.select("key", "n", "shingles", "ranks").mapInArrow(run, "key long, n int, m int, shingles binary, bits binary, entries long, met double")
+
+
+def entries(classes: DataFrame, light: int) -> DataFrame:
+    """The inverted lists' entries: token, key, n (the set's size) and place (of the token in the set's order; -1: a subset)."""
 
     def run(batches):
         for batch in batches:
-            a, n, b, m = (batch.column(i).to_pylist() for i in (4, 2, 5, 3))
-            keep = pa.array([may_reach(*x) for x in zip(a, n, b, m)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            tokens, places, counts = [], [], []
+            sizes = batch.column(1).to_numpy()
+            for n, some in zip(sizes.tolist(), batch.column(2).to_pylist()):
+                x = np.frombuffer(some, np.uint64)
+                alone, size = n - len(x), 0
+                if 4 * n >= 3 * (light + 1):
+                    own = x[: max(0, prefix_size(n) - alone)]
+                    tokens.append(own)
+                    places.append(alone + np.arange(len(own)))
+                    size += len(own)
+                if n <= light:
+                    for k in subset_sizes(n, light):
+                        if k <= len(x):
+                            chosen = np.array(list(combinations(np.sort(x).tolist(), k)), np.uint64)
+                            tokens.append(mix(chosen.sum(axis=1, dtype=np.uint64) + np.uint64(k)))
+                            places.append(np.full(len(chosen), -1))
+                            size += len(chosen)
+                counts.append(size)
+            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+            place = np.concatenate(places) if places else np.zeros(0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(flat)), pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(np.repeat(sizes, counts).astype(np.int32)), pa.array(place.astype(np.int32))],
+                names=["token", "key", "n", "place"],
+            )
 
-    return both.mapInArrow(run, "a long, b long")
+    return classes.select("key", "n", "shingles").mapInArrow(run, "token long, key long, n int, place int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b), a written table, whose texts link."""
-    pairs = runtime.checkpointed(possible(pairs, sets).distinct())
-    texts = runtime.IdFilter(pairs, "a", "b").passing(docs.select("doc_id", "text"), "doc_id")
-    left, right = texts.toDF("a", "a_text"), texts.toDF("b", "b_text")
-    both = pairs.join(right, "b").join(left, "a")
+def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys, a written table, whose sets link."""
+    sets = classes.select("key", "n", "shingles")
+    both = pairs.join(sets.toDF("b", "b_n", "b_set"), "b").join(sets.toDF("a", "a_n", "a_set"), "a")
 
     def run(batches):
-        shingles = Shingles()
         for batch in batches:
-            a_texts, b_texts = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("a_text", "b_text"))
-            texts = list({x or "": None for x in a_texts + b_texts})
-            sets = dict(zip(texts, shingles.sets([x.encode("utf-8", "surrogatepass") for x in texts])))
             good = []
-            for x, y in zip(a_texts, b_texts):
-                s, t = sets[x or ""], sets[y or ""]
-                n = len(np.intersect1d(s, t, assume_unique=True)) if 4 * min(len(s), len(t)) >= 3 * max(len(s), len(t)) else 0
-                good.append(n > 0 and 100 * n >= 75 * (len(s) + len(t) - n))
+            for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                i = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                good.append(7 * i >= 3 * (n + m))
             keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(x)).filter(keep) for x in ("a", "b")], names=["a", "b"])
-
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
-
-
-def _labelled(rows: DataFrame, labels: DataFrame, id_: str, name: str) -> DataFrame:
-    """rows with the component of the document in column id_; a document without links is its own."""
-    return rows.join(labels.select(F.col("node").alias(id_), F.col("component").alias("_c")), id_, "left").withColumn(name, F.coalesce("_c", id_)).drop("_c")
-
-
-def links(reps: DataFrame, docs: DataFrame, common: np.ndarray, sets: DataFrame) -> DataFrame:
-    """Verified links (a, b) between documents of unlike sets, enough of them that all linked ones are connected."""
-    chosen = runtime.IdFilter(reps, "doc_id")
-    texts = chosen.passing(docs.select("doc_id", "text"), "doc_id")
-    # the lists of two members or more; most tokens have one, and their entries are left out of the second pass
-    counts = entries(texts, common).groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
-    counts = runtime.checkpointed(counts)
-    lists = runtime.checkpointed(entries(texts, common, runtime.token_bitmap(counts, "token")).join(counts, "token"))
-    # pivots: a token's last bits choose one of PIVOTS orders of documents
-    key = F.struct(F.xxhash64("doc_id", F.col("token").bitwiseAND(PIVOTS - 1)).alias("h"), F.col("doc_id").alias("p_doc"), F.col("n").alias("p_n"), F.col("place").alias("p_place"))
-    pivot = lists.groupBy("token").agg(F.min(key).alias("p")).select("token", "p.*")
-    pairs = lists.join(pivot, "token").where("doc_id <> p_doc").where(_may_link(F.col("n"), F.col("place"), F.col("p_n"), F.col("p_place")))
-    compared = runtime.checkpointed(pairs.select(F.least("doc_id", "p_doc").alias("a"), F.greatest("doc_id", "p_doc").alias("b")).distinct())
-    found = runtime.checkpointed(verified(compared, docs, sets))
-    # what is left: members of one list in unlike components that weren't compared with a pivot
-    named = _labelled(lists, components(found), "doc_id", "component")
-    open_ = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rest = runtime.checkpointed(named.join(open_, "token"))
-    x, y = rest.alias("x"), rest.alias("y")
-    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-    bound = _may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
-    pairs = x.join(y, same & bound).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-    return found.unionByName(verified(runtime.checkpointed(pairs), docs, sets))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    return both.select("a", "b", "a_n", "a_set", "b_n", "b_set").mapInArrow(run, "a long, b long")
+
+
+def _may_link_in_cell(table: pa.Table, component: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of members of unlike components (and sides, where they have one) that all bounds allow to link."""
+    n, m, place = (table.column(c).to_numpy() for c in ("n", "m", "place"))
+    bits = table.column("bits").to_pylist()
+    words = np.array([len(x) // 8 for x in bits])
+    a, b = [], []
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        # sets that link are alike in size, so their bitmaps are of one size or of the next one
+        next_ = np.flatnonzero(words == 2 * w)
+        at = np.concatenate([own, next_])
+        rows = np.concatenate([folded(np.frombuffer(b"".join(bits[i] for i in x), np.uint64).reshape(len(x), -1), w) for x in (own, next_) if len(x)])
+        for i, me in enumerate(own.tolist()):
+            may = (component[at] != component[me]) & may_link(n[at], place[at], n[me], place[me])
+            may[: i + 1] = False
+            if side[me] >= 0:
+                may &= side[at] != side[me]
+            k = np.flatnonzero(may)
+            if not len(k):
+                continue
+            lacks, extra = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (rows[i] & ~rows[k], rows[k] & ~rows[i]))
+            k = at[k]
+            # of the shingles that other classes hold too, as no others are in bitmaps and intersections
+            common = np.minimum(m[me] - lacks, m[k] - extra)
+            k = k[7 * common >= 3 * (n[me] + n[k])]
+            a.append(np.full(len(k), me))
+            b.append(k)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def links(classes: DataFrame, light: int) -> DataFrame:
+    """Verified links (a, b) between keys of classes, enough of them that all linked ones are connected."""
+    every = runtime.checkpointed(entries(classes, light))
+    several = every.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
+    lists = runtime.checkpointed(every.join(several, "token"))
+    # pivots: a token's last bits choose one of PIVOTS orders of classes
+    order = F.struct(F.xxhash64("key", F.col("token").bitwiseAND(PIVOTS - 1)).alias("h"), F.col("key").alias("p_key"), F.col("n").alias("p_n"), F.col("place").alias("p_place"))
+    pivot = lists.groupBy("token").agg(F.min(order).alias("p")).select("token", "p.*")
+    pairs = lists.join(pivot, "token").where("key <> p_key").where(may_link(F.col("n"), F.col("place"), F.col("p_n"), F.col("p_place")))
+    compared = runtime.checkpointed(pairs.select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).distinct())
+    found = runtime.checkpointed(verified(compared, classes))
+    labels = components(found)
+    members = cells.open_members(lists, labels).join(classes.select("key", "m", "bits"), "key")
+    members = runtime.checkpointed(members.select("token", "key", "n", "m", "place", "component", "bits"))
+    rest = cells.pairs(members, _may_link_in_cell)
+    more = runtime.checkpointed(verified(rest.join(compared, ["a", "b"], "left_anti"), classes))
+    runtime.release(every, lists, compared, rest, members)
+    return found.unionByName(more)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -277,17 +417,34 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = runtime.checkpointed(signatures(docs))
     sets = rows.where("bucket IS NULL").drop("bucket", "n")
-    classes = runtime.checkpointed(sets.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    linked = components(links(classes.select(F.col("rep").alias("doc_id")), docs, common_shingles(rows), sets))
-    named = classes.join(linked, classes.rep == linked.node, "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.join(named, ["s1", "s2", "n_shingles"], "left")
+    classes = runtime.checkpointed(sets.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first")))
+    total = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    may = runtime.checkpointed(candidates(docs, total, common_shingles(rows)))
+    cost = may.agg(F.sum("met") / F.sum("entries")).first()[0]
+    linked = components(links(may, boundary(cost or 0.0)))
+    named = classes.join(linked, classes.s1 == linked.node, "left").select("s1", "s2", "n_shingles", "first", F.coalesce("component", "s1").alias("component"))
+    ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = runtime.checkpointed(named.join(ids, "component").select("s1", "s2", "n_shingles", "component_id"))
+    runtime.release(classes, may)
+    out = sets.join(ids, ["s1", "s2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's."""
-    kept = join(docs).groupBy("doc_id").agg(F.min("component_id").alias("_component")).where("doc_id = _component").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of docs for each component: that of the component's doc_id; of several rows of that id, one whose text comes
+    first by hash. Documents without words are components of their own."""
+    kept = join(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("doc_id <=> component_id").select(F.col("doc_id").alias(_free("_kept", docs)))
+    own, place = kept.columns[0], _free("_place", docs)
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[own]))
+    order = W.partitionBy(own).orderBy(F.xxhash64(docs["text"]), docs["text"])
+    return rows.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
+
+
+def _free(name: str, df: DataFrame) -> str:
+    """The name, or one like it that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

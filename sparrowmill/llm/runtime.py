@@ -28,19 +28,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches hold at most BATCH_ROWS rows and about BATCH_BYTES from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches hold at most BATCH_ROWS rows and about BATCH_BYTES from now on, unless the session asks for fewer rows.
+    The setting stays, as it is read when a query runs, which is after an operator has returned its DataFrame."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The shared folder of spark.checkpoint.dir, or the one that the caller has set on the context. Where neither is set, a
+    temporary one if driver and executors are one process, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if shared is None:
-        shared = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="sparrowmill-checkpoint-")
-    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="sparrowmill-checkpoint-")
         sc.setCheckpointDir(shared)
+        shared = sc.getCheckpointDir()
     return shared
 
 
@@ -53,7 +58,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that checkpointed() wrote, once nothing unwritten reads them any more."""
+    for table in tables:
+        remove(table.sparkSession, table._written_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def kept(df: DataFrame, keep: list[str], results: str) -> tuple[list[str], str]:
+    """The columns of `keep` whose names aren't among those of the results (a schema), and their schema."""
+    taken = {x.split()[0].lower() for x in results.split(", ")}
+    keep = [c for c in keep if c.lower() not in taken]
+    return keep, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields)
 
 
 def text_or_empty(name: str = "text"):
