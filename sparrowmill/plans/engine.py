@@ -1,7 +1,7 @@
 """A database over a Spark session: tables with snapshot versions, views, prepared statements, meta tables, and a dispatcher
 for statements. Queries are lazy DataFrames; data definition and manipulation act at once.
 
-A table is a pointer to an immutable DataFrame. A transaction works on a copy of the pointers; committing swaps the changed
+A table is a pointer to an immutable DataFrame; a view is a text. A transaction works on a copy of the pointers; committing swaps the changed
 ones if no one else did since (the first committer wins), rolling back drops them.
 """
 
@@ -11,14 +11,18 @@ import logging
 import os
 import platform
 import re
+import threading
 import time
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import files
+from . import dialect
 
 #: Types of CREATE TABLE. Dates and booleans are strings, lengths don't count.
 COLUMN_TYPES = {
@@ -49,11 +53,22 @@ def split_top(text: str, separator: str) -> list[str]:
     return [x.strip() for x in [*out, text[at:]] if x.strip()]
 
 
+@dataclass(frozen=True)
+class View:
+    """The text of a view's query, and names for its columns. It is run on the tables as they are when it is used."""
+
+    text: str
+    columns: tuple[str, ...] = ()
+
+
 class Database:
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, storage: str | None = None):
+        """storage: a folder that driver and executors share, for the versions of changed tables."""
+        self.spark, self.storage = spark, storage
         self.tables: dict[str, DataFrame] = {}
-        self.views: dict[str, DataFrame] = {}
+        self.views: dict[str, View] = {}
+        #: Temporary views are Spark's, which has one set of names for all threads.
+        self.names = threading.RLock()
         self.prepared: dict[str, str] = {}
         self.constraints: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
         self.sort_orders: dict[str, list[tuple[str, str]]] = {}
@@ -166,6 +181,15 @@ class Session:
         else:
             self.db.tables[name] = df
 
+    def _write(self, name: str, df: DataFrame) -> None:
+        """A changed table. With a storage folder it is written there, so that later statements neither compute the change
+        again nor read its sources; without one it stays a plan."""
+        if self.db.storage:
+            path = f"{self.db.storage}/{name}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            df = self.spark.read.schema(df.schema).parquet(path)
+        self._set(name, df)
+
     def table(self, name: str) -> DataFrame:
         return self.visible()[name.lower()]
 
@@ -174,20 +198,32 @@ class Session:
     def run(self, text: str, args: list | None = None) -> DataFrame | None:
         """All statements of the text in order; the last one's result."""
         out = None
-        for statement in split_top(re.sub(r"--[^\n]*", "", text), ";"):
+        for statement in dialect.statements(text):
             self.db.note("sql", statement[:200])
             out = self._one(statement, args)
         return out
 
     def query(self, text: str, args: list | None = None) -> DataFrame:
+        """The result of a query in the engine's dialect (see `dialect`)."""
+        with self.db.names:
+            self._register(text, set())
+            return dialect.query(self.spark, text, args)
+
+    def _register(self, text: str, within: set[str]) -> None:
+        """The tables, views and meta tables that the text names as Spark's temporary views; tables come before meta tables
+        and these before views of one name."""
+        named = {t.low.strip('"`') for t in dialect.tokens(text) if t.kind in ("name", "quoted")}
         tables = self.visible()
-        for n, df in {**self.db.views, **tables}.items():  # tables come before views of one name
-            if re.search(rf"(?i)\b{n}\b", text):
-                df.createOrReplaceTempView(n)
-        for n in set(re.findall(r"(?i)\bmeta_(\w+)", text)):
-            if f"meta_{n.lower()}" not in tables:
-                self.db.meta(n.lower(), tables).createOrReplaceTempView(f"meta_{n.lower()}")
-        return self.spark.sql(text, args=args) if args else self.spark.sql(text)
+        for n in sorted(named):
+            if n in tables:
+                tables[n].createOrReplaceTempView(n)
+            elif n.startswith("meta_"):
+                self.db.meta(n.removeprefix("meta_"), tables).createOrReplaceTempView(n)
+            elif n in self.db.views and n not in within:
+                view = self.db.views[n]
+                self._register(view.text, within | {n})
+                df = dialect.query(self.spark, view.text)
+                (df.toDF(*view.columns) if view.columns else df).createOrReplaceTempView(n)
 
     def _one(self, s: str, args: list | None) -> DataFrame | None:
         head = s.split(None, 1)[0].upper()
@@ -215,8 +251,13 @@ class Session:
 
     def _create(self, s: str) -> None:
         if m := re.fullmatch(rf"(?is)create\s+view\s+({_NAME})\s*(?:\(([^)]*)\))?\s+as\s+(.+)", s):
-            df = self.query(m[3])
-            self.db.views[m[1].lower()] = df.toDF(*[c.strip() for c in m[2].split(",")]) if m[2] else df
+            if m[1].lower() in self.db.views or m[1].lower() in self.visible():
+                raise ValueError(f"{m[1]} exists")
+            view = View(m[3], tuple(c.strip() for c in m[2].split(",")) if m[2] else ())
+            found = self.query(m[3]).columns  # a view that can't be read is told at once
+            if view.columns and len(view.columns) != len(found):
+                raise ValueError(f"{m[1]} has {len(found)} columns")
+            self.db.views[m[1].lower()] = view
             return
         m = self._match(rf"create\s+table\s+(if\s+not\s+exists\s+)?({_NAME})\s*(?:as\s+(.+)|\((.+)\))", s)
         name = m[2].lower()
@@ -260,15 +301,18 @@ class Session:
             return self._change_meta(m[1].lower(), "insert", [r for r in self.query(re.sub(r"(?is)^values", "SELECT * FROM VALUES", m[3])).collect()])
         old = self.table(m[1])
         names = [c.strip() for c in m[2].split(",")] if m[2] else old.columns
-        rows = self.query(m[3] if not m[3].lower().startswith("values") else f"SELECT * FROM {m[3]}").toDF(*names)
+        rows = self.query(m[3] if not m[3].lower().startswith("values") else f"SELECT * FROM {m[3]}")
+        if len(rows.columns) != len(names):
+            raise ValueError(f"{len(names)} columns, but {len(rows.columns)} values")
+        rows = rows.toDF(*names)
         cells = [(F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in old.schema.fields]
-        self._set(m[1].lower(), old.unionAll(rows.select(*cells)))
+        self._write(m[1].lower(), old.unionAll(rows.select(*cells)))
 
     def _delete(self, s: str) -> None:
         m = self._match(rf"delete\s+from\s+({_NAME})(?:\s+where\s+(.+))?", s)
         if m[1].lower() == "meta_plugins":
             return self._change_meta("meta_plugins", "delete", self.query(f"SELECT * FROM meta_plugins WHERE {m[2] or 'true'}").collect())
-        self._set(m[1].lower(), self.query(f"SELECT * FROM {m[1]} WHERE NOT coalesce(({m[2] or 'true'}), false)"))
+        self._write(m[1].lower(), self.query(f"SELECT * FROM {m[1]} WHERE NOT coalesce(({m[2] or 'true'}), false)"))
 
     def _update(self, s: str) -> None:
         m = self._match(rf"update\s+({_NAME})\s+set\s+(.+?)(?:\s+where\s+(.+))?", s)
@@ -282,7 +326,7 @@ class Session:
             return None
         old = self.table(m[1])
         cells = [f"CAST(CASE WHEN ({m[3] or 'true'}) THEN {sets[f.name]} ELSE {f.name} END AS {f.dataType.simpleString()}) AS {f.name}" if f.name in sets else f.name for f in old.schema.fields]
-        self._set(m[1].lower(), self.query(f"SELECT {', '.join(cells)} FROM {m[1]}"))
+        self._write(m[1].lower(), self.query(f"SELECT {', '.join(cells)} FROM {m[1]}"))
 
     def _change_meta(self, name: str, how: str, rows: list) -> None:
         for r in rows:
@@ -322,6 +366,3 @@ class Session:
         df = files.read_file(self.spark, path, kind and kind.lower())
         self._set(name, self.visible()[name].unionAll(df) if name in self.visible() else df)
 
-
-def schema_of(df: DataFrame) -> list[tuple[str, str, bool]]:
-    return [(f.name, files.NAMES.get(type(f.dataType), "string"), f.nullable) for f in df.schema.fields if isinstance(f, T.StructField)]
