@@ -7,6 +7,7 @@ certain physical operator.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,32 +16,44 @@ from pyspark.sql import types as T
 
 from ..functions.semantics import nulls_first
 
+INDEX_BYTES = 64 << 20
 MODES = ("inner", "left", "right", "full", "cross", "semi", "anti_null_as_false", "anti_null_as_true")
 
 
 def join(left: DataFrame, right: DataFrame, on: Column | Sequence[tuple[str, str, str]] | None, mode: str = "inner", algorithm: str | None = None) -> DataFrame:
     """on: a condition, or triples (left column, operator, right column) that all must hold. algorithm: hash, sort_merge or
-    nested_loop, as a hint. anti_null_as_true (NOT IN) keeps a row if every comparison is false, none unknown."""
+    nested_loop, as a hint; index has every task probe a hash index of the whole right side, if the planner's estimate of its
+    size is at most INDEX_BYTES, and is hash otherwise. anti_null_as_true (NOT IN) keeps a row if every comparison is false, none unknown."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     if mode == "cross":
         return left.crossJoin(right)
     if algorithm:
-        right = right.hint({"hash": "shuffle_hash", "sort_merge": "merge", "nested_loop": "shuffle_replicate_nl"}[algorithm])
+        if algorithm == "index":
+            algorithm = "broadcast" if _estimate(right) <= INDEX_BYTES else "hash"
+        right = right.hint({"hash": "shuffle_hash", "sort_merge": "merge", "nested_loop": "shuffle_replicate_nl", "broadcast": "broadcast"}[algorithm])
     if on is not None and not isinstance(on, Column):
         compare = {"=": Column.__eq__, "<>": Column.__ne__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
-        condition = F.lit(True)
-        for a, op, b in on:
-            condition = condition & compare[op](left[a], right[b])
+        parts = [compare[op](left[a], right[b]) for a, op, b in on]
+        if mode == "anti_null_as_true" and [op for _, op, _ in on] == ["="]:
+            # the form that the planner knows as a null-aware anti join, by hash
+            return left.join(right, parts[0] | parts[0].isNull(), "left_anti")
+        condition = reduce(Column.__and__, parts) if parts else F.lit(True)
     else:
         condition = on
     if mode == "anti_null_as_true":
-        # an unknown comparison counts as a match; Spark plans this form as a null-aware anti join where it can
-        return left.join(right, F.coalesce(condition, F.lit(True)), "left_anti")
+        # an unknown comparison counts as a match; rows with one are few, so they are joined by themselves, and the others by
+        # whatever the condition allows
+        return left.join(right, condition, "left_anti").join(right, condition.isNull(), "left_anti")
     how = {"semi": "left_semi", "anti_null_as_false": "left_anti"}.get(mode, mode)
     return left.join(right, condition, how)
 
 
+def _estimate(df: DataFrame) -> int:
+    """The planner's estimate of a result's bytes."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def using(left: DataFrame, right: DataFrame, names: Sequence[str], mode: str = "inner") -> DataFrame:
     """JOIN .. USING: the left input's key columns are kept, in all modes."""
     left, right = left.alias("_l"), right.alias("_r")
@@ -116,10 +129,29 @@ def windowed(function: str, column: str | None, partition: Sequence[str], order:
         return getattr(F, function)().over(w)
     c = F.col(column) if column else F.lit(1)
     if function == "count_distinct":
+        # a set for each row: counted() does without, where there is no frame
         return F.size(F.collect_set(c).over(w)).cast("long")
     return {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev_samp": F.stddev_samp}[function](c).over(w)
 
 
+def counted(df: DataFrame, column: str, partition: Sequence[str], alias: str) -> DataFrame:
+    """df with COUNT(DISTINCT column) OVER (PARTITION BY partition), counted once for each group and joined back, so that no
+    row holds its group's values."""
+    keys = [f"_key_{i}" for i in range(len(partition))]
+    counts = df.groupBy(*(F.col(p).alias(k) for p, k in zip(partition, keys))).agg(F.count_distinct(column).alias(alias))
+    same = reduce(Column.__and__, (df[p].eqNullSafe(counts[k]) for p, k in zip(partition, keys)))
+    return df.join(counts, same).drop(*keys)
+
+
+def render(df: DataFrame, rows: int = 100) -> str:
+    """The first rows of a result as text, in columns."""
+    found = df.limit(rows).collect()
+    cells = [df.columns, *([("NULL" if v is None else str(v)) for v in r] for r in found)]
+    widths = [max(len(c[i]) for c in cells) for i in range(len(df.columns))]
+    lines = ["| " + " | ".join(x.ljust(w) for x, w in zip(c, widths)) + " |" for c in cells]
+    return "\n".join([lines[0], "|" + "|".join("-" * (w + 2) for w in widths) + "|", *lines[1:]])
+
+
 def _same_types(a: DataFrame, b: DataFrame) -> None:
     if [f.dataType for f in a.schema.fields] != [f.dataType for f in b.schema.fields]:
         raise TypeError("set operations need equal column types")

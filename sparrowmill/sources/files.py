@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,12 +23,14 @@ def read_tbl(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).limit(2).collect()
     names, kinds = (r[0].split("|") for r in lines)
     fields = [T.StructField(n, TYPES[k.removesuffix("_null")], k.endswith("_null")) for n, k in zip(names, kinds)]
-    raw = spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in fields])).option("sep", "|").option("quote", "").option("enforceSchema", "true").csv(path)
-    heads = [tuple(names), tuple(kinds)]
-    keep = ~F.struct(*(F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names)).isin([F.struct(*(F.lit(x) for x in h)) for h in heads])
-    # the header's lines are told by their contents; a data row can't equal them, as types aren't data of numeric columns
+    schema = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+    # the reader drops the first line of each file; of the rows that are like its second line, one for each file is that line
+    raw = spark.read.schema(schema).option("sep", "|").option("quote", "").option("header", "true").option("enforceSchema", "true").csv(path).withColumn("_file", F.input_file_name())
+    of_kinds = F.struct(*(F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names)) == F.struct(*(F.lit(k) for k in kinds))
+    place = F.row_number().over(W.partitionBy("_file").orderBy("_file"))
+    data = raw.where(~of_kinds).drop("_file").unionAll(raw.where(of_kinds).withColumn("_place", place).where("_place > 1").drop("_file", "_place"))
     cells = [F.when(F.col(f"`{f.name}`") == "null", None).otherwise(F.coalesce(F.col(f"`{f.name}`"), F.lit("") if isinstance(f.dataType, T.StringType) else F.lit(None))).cast(f.dataType).alias(f.name) for f in fields]
-    return raw.where(keep).select(*cells)
+    return data.select(*cells)
 
 
 def read_csv(spark: SparkSession, path: str, description: dict | None = None) -> DataFrame:
@@ -53,6 +56,8 @@ def read_csv(spark: SparkSession, path: str, description: dict | None = None) ->
     delimiter = config.get("delimiter", "\n")
     if delimiter != "\n":
         reader = reader.option("lineSep", delimiter)
+    elif not spark.read.option("lineSep", "\n").text(path).where(F.col("value").endswith("\r")).isEmpty():
+        raise ValueError("lines end with \\n, not with \\r\\n")
     out = []
     for c in columns:
         raw = F.col(f"`{c['name']}`")

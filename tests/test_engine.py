@@ -134,3 +134,28 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     batch = events.tumbling(spark.read.parquet(str(tmp_path / "events.parquet")))
     assert sorted(map(tuple, spark.table("tumbled").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_tables_may_hold_rows_like_their_header(spark, tmp_path):
+    for i in (1, 2):
+        (tmp_path / f"{i}.tbl").write_text("a|b\nstring|string\nstring|string\na|b\nx|null\nstring|string\n")
+    one = [tuple(r) for r in files.read_tbl(spark, str(tmp_path / "1.tbl")).collect()]
+    assert sorted(one, key=repr) == sorted([("string", "string"), ("a", "b"), ("x", None), ("string", "string")], key=repr)
+    assert files.read_tbl(spark, str(tmp_path)).count() == 8
+
+
+def test_csv_refuses_carriage_returns(spark, tmp_path):
+    (tmp_path / "c.csv").write_bytes(b'1,"x"\r\n2,"y"\r\n')
+    about = {"columns": [{"name": "a", "type": "int"}, {"name": "s", "type": "string"}]}
+    with pytest.raises(ValueError):
+        files.read_csv(spark, str(tmp_path / "c.csv"), about)
+
+
+@pytest.mark.parametrize("ops", [[("k", "=", "j"), ("k", "<", "w")], [("k", "<", "j")]])
+def test_null_as_true_of_several_conditions(spark, ops):
+    left, right = spark.createDataFrame(LEFT, "k int, v string"), spark.createDataFrame(RIGHT, "j int, w int")
+    unknown = lambda xs: False if False in xs else None if None in xs else True
+    want = [x for x in LEFT if all(unknown([None if x[0] is None or y["jw".index(c)] is None else OPS[op](x[0], y["jw".index(c)]) for _, op, c in ops]) is False for y in RIGHT)]
+    assert sorted(map(repr, map(tuple, R.join(left, right, ops, "anti_null_as_true").collect()))) == sorted(map(repr, want))
+    plan = R.join(left, right, [("k", "=", "j")], "anti_null_as_true")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
