@@ -2,20 +2,23 @@
 
 Per host, the paths form a tree of segments. From the root down, a segment becomes a wildcard if it looks variable
 (numbers, with or without an ending, long hexadecimal strings, dates), or if its branch is statistically like its
-siblings: its rate of bad labels doesn't differ from the siblings' pooled rate by SIGMAS deviations and there are more
-than FEW branches. Each resulting template has labelled pages; its share of bad ones is smoothed by PRIOR pages of the
-host's rate, itself smoothed by the overall rate. A template whose smoothed bad share reaches REJECT is blocked.
+siblings: its number of bad pages differs from what their pooled rate makes expected by less than SIGMAS deviations. Each
+resulting template has labelled pages; its share of bad ones is smoothed by PRIOR pages of the host's rate, itself smoothed
+by the overall rate. A template whose smoothed bad share reaches REJECT is blocked.
 
 The rules come first: a rule fits its host and all subdomains if the path starts with the rule's; the longest one wins.
 
-Labels are the rows of `labels` whose doc_id is the page_id; bad is a quality of 0 or a toxic of 1.
+Labels: a page that a rule decides is labelled by it (block: bad), so the tree carries the rules' judgement over to like
+pages of their hosts that no rule names. A table of further labels (page_id, bad) may be given.
 
 Everything is counted on distinct (host, path) pairs, pre-aggregated, and node tables are joined by salted keys, so that
 a hot host is dealt out. The tree is walked a level at a time, to the last segment of each path.
 
 Defined cases: a null url, or one without "://", has an empty host and path. No rule fits it, and it forms a template of
-its own. Pages without labels count as unlabelled; repeated labels of a page count as bad if any is. Without any labels
-no template is blocked. Ties of rules can't occur, as rules of one length differ in host or path.
+its own. Pages without labels count as unlabelled; repeated labels of a page count as bad if any is, and a rule comes before
+them. A template without labels of its own isn't blocked. Rules that fit one url equally long can't differ, as each is an
+end of its host and a start of its path, one of which they would share. Repeated rows and page_ids are judged each, and an
+empty table gives no rows. Other columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from . import runtime
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-FEW = 8
 SIGMAS = 3.0
 PRIOR = 8.0
 REJECT = 0.5
@@ -76,19 +78,22 @@ def templates(paths: DataFrame) -> DataFrame:
         parent = node.groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.count("*").alias("branches"))
         rate = F.col("all_bad") / F.greatest(F.col("all_labelled"), F.lit(1))
         error = F.sqrt(rate * (1 - rate) * F.col("labelled") + 1)
-        alike = (F.col("branches") > FEW) & (F.abs(F.col("bad") - rate * F.col("labelled")) < SIGMAS * error)
+        alike = (F.col("branches") > 1) & (F.abs(F.col("bad") - rate * F.col("labelled")) < SIGMAS * error)
         step = F.when(F.col("segment").startswith("*"), F.concat(F.lit("/"), "segment")).when(alike, "/*").otherwise(F.concat(F.lit("/"), "segment"))
         nodes = node.join(parent, ["host", "template"]).select("host", "template", "segment", step.alias("step"))
         rows = runtime.checkpointed(_salted_join(rows, nodes, ["host", "template", "segment"]).withColumn("template", F.concat("template", "step")).drop("step", "segment"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
-    """Per row of pages: page_id, host, path, rule, verdict, template, and the template's smoothed share of bad pages."""
+def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES) -> DataFrame:
+    """Per row of pages: page_id, host, path, rule, verdict, template, and the template's smoothed share of bad pages. labels:
+    page_id, bad (0 or 1)."""
     host, path = host_and_path(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
-    bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("long")
-    known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
-    marked = pages.join(known, "page_id", "left")
+    name, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    marked = pages.withColumn("bad", (verdict == "block").cast("long"))
+    if labels is not None:
+        known = labels.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max(F.col("bad").cast("long")).alias("given"))
+        marked = marked.join(known, "page_id", "left").withColumn("bad", F.coalesce("bad", "given"))
     paths = marked.groupBy("host", "path").agg(F.count("bad").alias("n_labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
     named = runtime.checkpointed(templates(runtime.checkpointed(paths)))
     overall = named.agg((F.sum("n_bad") / F.greatest(F.sum("n_labelled"), F.lit(1))).alias("overall"))
@@ -98,10 +103,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     share = F.when(F.col("labelled") > 0, (F.col("bad") + PRIOR * rate) / (F.col("labelled") + PRIOR)).otherwise(0.0)  # by labels of its own only
     tree = tree.join(hosts, "host").join(F.broadcast(overall)).select("host", "template", share.alias("bad_share"))  # overall: one row
     decided = _salted_join(named.select("host", "path", "template"), tree, ["host", "template"])
-    name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_share") >= REJECT, "block").otherwise("allow")
     return pages.join(decided, ["host", "path"]).select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", F.round("bad_share", 6).alias("bad_share"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(runtime.read_table(spark, sf_dir, "pages"), runtime.read_table(spark, sf_dir, "labels"))
+    return judge(runtime.read_table(spark, sf_dir, "pages"))
