@@ -1,18 +1,21 @@
 """Operator 3: secret scans with a recursive decoding worklist.
 
 Each text is a layer. A layer is searched with the base patterns; then every encoded stretch in it (percent escapes,
-Unicode escapes, base64, and compressed data within base64) gives a further layer, until no new layer appears. A layer
-that was seen before in its document, with the same content from the same place, isn't taken up again, which ends cycles;
+Unicode escapes, base64 in one line or several, and compressed data within base64) gives a further layer, until no new layer
+appears. A layer that was seen before in its document, with the same content from the same place, isn't taken up again, which ends cycles;
 equal layers from other places are layers of their own. Each layer keeps, for every one of its characters, the span of the
 document it came from, so that a secret found deep inside is reported at each stretch of the document that encodes it.
 
 Defined cases: null and empty texts have no spans. Spans are half-open, in code points, each once, ordered by start, then
-by kind as in KINDS. Secrets that overlap in different kinds are all reported. Decoded bytes that are no printable UTF-8
-are no layer. Compressed data are read to their end, all gzip members of them; `truncated` counts those that break off or
-are damaged before, of which what comes out is a layer (data damaged in their first member are none). A decompressed
-layer is read twice, once to see that it is printable, then in parts of about PART bytes, each ending behind a character
-that no pattern can hold; so a worker holds a part, and more only of a run without any such character. As all of the
-layer stands for one span, its parts give the same spans as the whole, and what they encode counts as a layer for each.
+by kind as in KINDS. Secrets that overlap in different kinds are all reported. Decoded bytes that are no UTF-8 stand as
+U+FFFD in their layer, which is searched like any other (n_layers and max_depth count layers of printable text only); a
+percent escape of such a byte stays as it is. Compressed data are read to their end, all gzip members of them; `truncated`
+counts those that break off or are damaged before, of which what comes out is a layer (data damaged in their first member
+are none). A decompressed layer is read twice, once for its digest, then in parts of about PART bytes, each ending behind a
+character that no pattern can hold; so a worker holds a part, and more only of a run without any such character. As all of
+the layer stands for one span, its parts give the same spans as the whole, and what they encode counts as a layer for each.
+Repeated rows give equal results, and an empty table none. Kept columns of a result's name give way to it, in `redact` all
+columns stay.
 """
 
 from __future__ import annotations
@@ -47,6 +50,9 @@ _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-
 #: What no match of the patterns holds.
 _APART = re.compile(r"""[^A-Za-z0-9+/_.=\-"'\x20:\\{}&#;%]""")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+#: Base64 in lines.
+_LINES = re.compile(r"(?:[A-Za-z0-9+/_-]{%d,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}" % MIN_BASE64)
+_SPACE = re.compile(r"[ \t\r\n]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -80,15 +86,7 @@ class Origin:
 
 
 def _is_printable(text: str) -> bool:
-    return text.replace("\t", "").replace("\n", "").replace("\r", "").isprintable()
-
-
-def _printable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and _is_printable(text) else None
+    return "\ufffd" not in text and text.replace("\t", "").replace("\n", "").replace("\r", "").isprintable()
 
 
 def _unescape(text: str, origin: Origin, pattern: re.Pattern, decode) -> tuple[str, Origin] | None:
@@ -126,16 +124,20 @@ def _cut(origin: Origin, start: int, end: int) -> list[tuple[int, int, int | Non
 
 
 def _percent(m: re.Match):
-    data = bytes.fromhex(m[0].replace("%", ""))
-    text = data.decode("utf-8", "ignore")
-    if text.encode() != data:
-        return None
-    places, at = [], 0
-    for i, c in enumerate(text):
-        n = 3 * len(c.encode())
-        places.append((i, at, at + n))
-        at += n
-    return text, places
+    text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
+    out, places, size, at = [], [], 0, 0
+    for c in text:
+        if "\udc80" <= c <= "\udcff":
+            c = m[0][at : at + 3]
+            places += ((size + i, at + i, at + i + 1) for i in range(3))
+            at += 3
+        else:
+            n = 3 * len(c.encode())
+            places.append((size, at, at + n))
+            at += n
+        out.append(c)
+        size += len(c)
+    return ("".join(out), places) if size < at else None
 
 
 def _unicode(m: re.Match):
@@ -175,8 +177,8 @@ def inflate(data: bytes, broken: list[bool]) -> Iterator[bytes]:
 
 
 def _parts(data: bytes) -> Iterator[str]:
-    """Decompressed printable text in parts between which no match of a pattern lies."""
-    decoder = codecs.getincrementaldecoder("utf-8")()
+    """Decompressed text in parts between which no match of a pattern lies."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
     held: list[str] = []
     size = 0
     for chunk in inflate(data, []):
@@ -192,25 +194,22 @@ def _parts(data: bytes) -> Iterator[str]:
                 held, size = [], len(text) - at
         if at < len(text):
             held.append(text[at:])
-    if held:
-        yield "".join(held)
+    if held or size:
+        yield "".join((*held, decoder.decode(b"", True)))
 
 
-def opened(data: bytes) -> tuple[Iterator[str], bytes, bool] | None:
-    """Of compressed printable text its parts, a digest, and whether it breaks off; None if it isn't printable. Raises
-    zlib.error if the data aren't compressed."""
-    decoder, digest, broken, first, n = codecs.getincrementaldecoder("utf-8")(), hashlib.blake2b(digest_size=16), [], "", 0
-    try:
-        for chunk in inflate(data, broken):
-            text = decoder.decode(chunk)
-            if not _is_printable(text):
-                return None
-            digest.update(chunk)
-            first, n = text if not n else "", n + 1
-        decoder.decode(b"", True)
-    except UnicodeDecodeError:
-        return None
-    return (iter((first,)) if n == 1 else _parts(data), digest.digest(), bool(broken)) if n else None
+def opened(data: bytes) -> tuple[Iterator[str], bytes, bool, bool] | None:
+    """Of compressed data the parts of their text, a digest, whether it is printable, and whether it breaks off; None if
+    there is none. Raises zlib.error if the data aren't compressed."""
+    decoder, digest, broken, first, n = codecs.getincrementaldecoder("utf-8")("replace"), hashlib.blake2b(digest_size=16), [], "", 0
+    printable = True
+    for chunk in inflate(data, broken):
+        text = decoder.decode(chunk)
+        printable = printable and _is_printable(text)
+        digest.update(chunk)
+        first, n = text if not n else "", n + 1
+    first += decoder.decode(b"", True) if n == 1 else ""
+    return (iter((first,)) if n == 1 else _parts(data), digest.digest(), printable, bool(broken)) if n else None
 
 
 def _base64(token: str) -> bytes | None:
@@ -237,42 +236,41 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             work.pop()
             continue
         deepest = max(deepest, depth)
-        if depth:
+        if layer is not text:
             for start, kind, end in base_spans(layer):
                 s, e = origin.span(start, end)
                 found.add((s, kind, e))
-        new: list[tuple[Iterator[str], bytes, Origin]] = []
+        new: list[tuple[Iterator[str], bytes, bool, Origin]] = []
         if "%" in layer and (x := _unescape(layer, origin, _PERCENT, _percent)):
             new.append(_whole(*x))
         if ("\\" in layer or "&#" in layer) and (x := _unescape(layer, origin, _UNICODE, _unicode)):
             new.append(_whole(*x))
-        for m in _BASE64.finditer(layer):
-            data = _base64(m[0])
-            if data is None:
-                continue
-            where = Origin([(0, *origin.span(m.start(), m.end()))])
-            if _compressed(data):
-                try:
-                    if (got := opened(data)) is not None:
-                        cut += got[2]
-                        new.append((*got[:2], where))
-                        continue
-                except zlib.error:
-                    pass
-            inner = _printable(data)
-            if inner is not None:
-                new.append(_whole(inner, where))
-        for inner, digest, where in new:
+        for pattern in (_BASE64, _LINES) if "\n" in layer else (_BASE64,):
+            for m in pattern.finditer(layer):
+                data = _base64(m[0] if pattern is _BASE64 else _SPACE.sub("", m[0]))
+                if not data:
+                    continue
+                where = Origin([(0, *origin.span(m.start(), m.end()))])
+                if _compressed(data):
+                    try:
+                        if (got := opened(data)) is not None:
+                            cut += got[3]
+                            new.append((*got[:3], where))
+                            continue
+                    except zlib.error:
+                        pass
+                new.append(_whole(data.decode("utf-8", "replace"), where))
+        for inner, digest, printable, where in new:
             key = (digest, *where.pieces)
             if key not in seen:
                 seen.add(key)
-                layers += 1
-                work.append((inner, where, depth + 1))
+                layers += printable
+                work.append((inner, where, depth + printable))
     return base, sorted(found), layers, deepest, cut
 
 
-def _whole(text: str, where: Origin) -> tuple[Iterator[str], bytes, Origin]:
-    return iter((text,)), hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), where
+def _whole(text: str, where: Origin) -> tuple[Iterator[str], bytes, bool, Origin]:
+    return iter((text,)), hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), _is_printable(text), where
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -285,7 +283,7 @@ FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans str
 def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep`, and what the scan finds in each text."""
     runtime.small_batches(docs.sparkSession)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    keep, kept = runtime.kept(docs, keep, FOUND)
     chosen = docs.select(*keep, F.col(text).alias("_text_to_scan"))
 
     def run(batches):
@@ -300,7 +298,7 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 3
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, t) for x, t in zip(rows, types))], names=[*keep, *(x.split()[0] for x in FOUND.split(", "))])
 
-    return chosen.mapInArrow(run, f"{kept}, {FOUND}")
+    return chosen.mapInArrow(run, f"{kept}{FOUND}")
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
