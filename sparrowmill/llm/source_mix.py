@@ -12,8 +12,10 @@ All random numbers are hashes of the seed and of what they are for, so reruns ag
 are metadata: they are joined by salted keys, and only they meet in one task.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; sources without words have
-target 0. Targets sum up to all words unless all sources are capped. Documents with no words are never taken. Repeated
-rows are dealt alike, to the same block. An empty table gives an empty mix.
+target 0. Targets sum up to all words unless all sources are capped. Documents with no words are never taken. Rows of one
+doc_id, source and size (repeated rows are such) are one unit: they are dealt and taken alike. Rows of one doc_id but of
+another source or size have nothing to do with each other, and a null doc_id is an id. An empty table gives an empty mix.
+The mix keeps the columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -147,13 +149,21 @@ def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return salted.join(many, same).drop(many["_salt"]).drop("_source", "_salt")
 
 
+def _size() -> Column:
+    return F.regexp_count(runtime.text_or_empty(), F.lit(WORD)).cast("long")
+
+
+def _unit(size: Column | str = "size") -> Column:
+    """What tells rows that are dealt and taken alike; nulls differ from all other values."""
+    return F.xxhash64("doc_id", "source", F.col("doc_id").isNull(), F.col("source").isNull(), size)
+
+
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, copies, shards (one for each copy) and taken."""
-    size = F.regexp_count(runtime.text_or_empty(), F.lit(WORD)).cast("long")
-    sized = runtime.checkpointed(docs.select("doc_id", "source", size.alias("size")))
+    """Per row of docs: doc_id, source, size, source_size, target, copies, shards (one for each copy), taken and unit."""
+    sized = runtime.checkpointed(docs.select("doc_id", "source", _size().alias("size")))
     sources = runtime.checkpointed(sources_of(sized))
     rows = _with_source(sized, sources).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "n_blocks"))
-    rows = runtime.checkpointed(rows)
+    rows = runtime.checkpointed(rows.withColumn("unit", _unit()))
     blocks = rows.groupBy("source", "rank", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("n_blocks").alias("n_blocks"), F.first("passes").alias("passes"))
     permuted = W.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 1), "rank", "block"), "block")
     blocks = blocks.withColumn("place", F.row_number().over(permuted).cast("long") - 1)
@@ -165,24 +175,26 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     cuts = split_quotas(quotas, seed=seed).select("rank", "cuts", "filled")
     # the block where the target falls: one for each source, of about BLOCK_DOCS documents
     edge = blocks.where("room IS NOT NULL").select("rank", "block", "room")
-    inside = rows.where("size > 0").join(edge, ["rank", "block"]).groupBy("rank", "block", "room").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("minus"), F.xxhash64(F.lit(seed + 2), "doc_id").alias("h"), "doc_id"))).alias("docs"))
-    start = F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("taken"), F.lit(None).cast("struct<minus:bigint,h:bigint,doc_id:bigint>").alias("next"))
+    inside = rows.where("size > 0").join(edge, ["rank", "block"]).groupBy("rank", "block", "room", "unit").agg(F.sum("size").alias("size"))
+    ordered = F.struct((-F.col("size")).alias("minus"), F.xxhash64(F.lit(seed + 2), "unit").alias("h"), "unit")
+    inside = inside.groupBy("rank", "block", "room").agg(F.array_sort(F.collect_list(ordered)).alias("docs"))
+    start = F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("taken"), F.lit(None).cast("struct<minus:bigint,h:bigint,unit:bigint>").alias("next"))
 
     def step(acc: Column, d: Column) -> Column:
         fits = -d["minus"] <= acc["room"]
         return F.struct(
             F.when(fits, acc["room"] + d["minus"]).otherwise(acc["room"]).alias("room"),
-            F.when(fits, F.concat(acc["taken"], F.array(d["doc_id"]))).otherwise(acc["taken"]).alias("taken"),
+            F.when(fits, F.concat(acc["taken"], F.array(d["unit"]))).otherwise(acc["taken"]).alias("taken"),
             F.when(fits, acc["next"]).otherwise(d).alias("next"),
         )
 
     def end(acc: Column) -> Column:
         nearer = acc["next"].isNotNull() & (-acc["next"]["minus"] - acc["room"] < acc["room"])
-        return F.when(nearer, F.concat(acc["taken"], F.array(acc["next"]["doc_id"]))).otherwise(acc["taken"])
+        return F.when(nearer, F.concat(acc["taken"], F.array(acc["next"]["unit"]))).otherwise(acc["taken"])
 
-    partly = inside.select(F.explode(F.aggregate("docs", start, step, end)).alias("doc_id")).groupBy("doc_id").agg(F.lit(1).cast("long").alias("more"))
+    partly = inside.select("rank", "block", F.explode(F.aggregate("docs", start, step, end)).alias("unit"), F.lit(1).cast("long").alias("more"))
     placed = blocks.join(cuts, "rank").select("rank", "block", "place", "filled", "whole", "cuts")
-    out = rows.join(placed, ["rank", "block"]).join(partly, "doc_id", "left")
+    out = rows.join(placed, ["rank", "block"]).join(partly, ["rank", "block", "unit"], "left")
     copies = F.when(F.col("size") > 0, F.col("passes") + F.when(F.col("whole"), 1).otherwise(F.coalesce("more", F.lit(0)))).otherwise(0).cast("long")
     out = out.withColumn("copies", F.least(copies, F.lit(int(MOST))))
 
@@ -193,16 +205,19 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
         return (F.size(F.filter("cuts", lambda c: c <= at)) - 1).cast("int")
 
     shards = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), shard)).otherwise(F.array().cast("array<int>"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", shards.alias("shards"), (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", shards.alias("shards"), (F.col("copies") * F.col("size")).alias("taken"), "unit")
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of docs as often as the mix takes them, dealt to its shards and shuffled there."""
     names = docs.columns
-    chosen = mix(docs, seed).where("copies > 0").select("doc_id", F.explode("shards").alias("_shard")).groupBy("doc_id").agg(F.collect_list("_shard").alias("_shards"))
-    rows = docs.join(chosen, "doc_id").select(*names, F.posexplode("_shards").alias("_copy", "_shard"))
-    order = F.xxhash64(F.lit(seed + 3), "doc_id", "_copy")
-    return rows.repartition("_shard", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).sortWithinPartitions("_shard", order).select(*names)
+    # one row for each unit, so that each row of docs meets one
+    chosen = mix(docs, seed).where("copies > 0").groupBy(F.col("unit").alias("mix_unit")).agg(F.first("shards").alias("mix_shards"))
+    own = docs.select(_unit(_size()).alias("mix_own_unit"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("mix_row"))
+    rows = own.join(chosen, F.col("mix_own_unit") == F.col("mix_unit")).select("mix_row", "mix_unit", F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
+    order = F.xxhash64(F.lit(seed + 3), "mix_unit", "mix_copy")
+    dealt = rows.repartition("mix_shard", F.pmod(F.xxhash64("mix_unit"), F.lit(SALTS))).sortWithinPartitions("mix_shard", order)
+    return dealt.select("mix_row.*")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
