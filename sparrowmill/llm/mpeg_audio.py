@@ -5,11 +5,13 @@ frames (mono, 48 kHz, with checksums) whose granules are silent, so that a decod
 bits hold the payload. The bit rate varies: full frames have 320 kbit/s, the last one the least rate that fits.
 
 `parse` reads any MPEG-1, 2 or 2.5 stream of layers I to III: it resynchronises on frame headers (a header counts if the
-next one follows it or the data end there), reads ID3v2, ID3v1, Xing, Info and VBRI tables, verifies checksums, and gives
-the exact duration as samples over rate and the byte offset of each frame.
+next one follows it or the data end there), reads ID3v2, ID3v1, Xing, Info and VBRI tables, verifies the checksums of all
+layers, and gives the exact duration as samples over rate, without the encoder's delay and padding where a table tells
+them, and the byte offset of each frame.
 
 Defined cases: null media are parsed as empty ones, with no frames and duration 0. Bytes between frames count as skipped.
-A frame cut off at the end of the data is left out. Streams of mixed rates sum each frame's own duration.
+A frame cut off at the end of the data is left out. Streams of mixed rates sum each frame's own duration. Repeated rows give
+equal results, and an empty table none. Kept columns of a result's name give way to it.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ RATES = {
     (2, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 HERTZ = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
+# Bits of a Layer II subband's allocation, for the subbands that have so many: (bits, subbands) in order, by table.
+ALLOCATION = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "low": ((4, 4), (3, 7), (2, 19))}
 # Fixed values end here.
 
 SIDE, CHECK, HEAD = 17, 2, 4  # bytes of a mono frame's side information, checksum and header
@@ -45,11 +49,12 @@ SAMPLES, RATE = 1152, 48000
 PAYLOAD_UNIT = 64
 
 
-def crc16(data: bytes, crc: int = 0xFFFF) -> int:
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+def crc16(data: bytes, crc: int = 0xFFFF, bits: int | None = None) -> int:
+    """The checksum of the first so many bits (all, if none are told)."""
+    bits = 8 * len(data) if bits is None else bits
+    for i in range(bits):
+        bit = data[i >> 3] >> (7 - (i & 7)) & 1
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ bit else 0)) & 0xFFFF
     return crc
 
 
@@ -184,7 +189,11 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
             if flags & 4:
                 out.toc, p = data[p : p + 100], p + 100
             if flags & 8:
-                out.table["quality"] = int.from_bytes(data[p : p + 4])
+                out.table["quality"], p = int.from_bytes(data[p : p + 4]), p + 4
+            # an encoder's name of nine characters, and further on its delay and padding in samples, 12 bits each
+            if p + 24 <= end and data[p : p + 4].isalnum():
+                both = int.from_bytes(data[p + 21 : p + 24])
+                out.table["delay"], out.table["padding"] = both >> 12, both & 0xFFF
             return True
     if data[at + 36 : at + 40] == b"VBRI" and at + 58 <= end:
         out.table["bytes"], out.table["frames"] = struct.unpack(">II", data[at + 46 : at + 54])
@@ -192,15 +201,51 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
     return False
 
 
+def _bit(data: bytes, i: int) -> int:
+    return data[i >> 3] >> (7 - (i & 7)) & 1
+
+
+def protected_bits(body: bytes, word: int, h: Header) -> int:
+    """How many bits behind a frame's checksum it covers, besides the header's last 16: the side information of Layer III, the
+    allocations of Layer I, and those of Layer II with the choices of scale factors."""
+    if h.layer == 3:
+        return 8 * _side(h)
+    bound = 4 * ((word >> 4 & 3) + 1) if word >> 6 & 3 == 1 else 32  # from there on both channels share allocations
+    if h.layer == 1:
+        return 4 * sum(h.channels if band < bound else 1 for band in range(32))
+    rate = h.kbits // h.channels
+    if h.version > 1:
+        table = "low"
+    elif rate >= 56 and (h.hertz == 48000 or rate <= 80):
+        table = "a"
+    elif h.hertz != 48000 and rate >= 96:
+        table = "b"
+    else:
+        table = "c" if h.hertz != 32000 else "d"
+    widths = [bits for bits, n in ALLOCATION[table] for _ in range(n)]
+    at = choices = 0
+    for band, bits in enumerate(widths):
+        shared = band >= bound
+        for _ in range(1 if shared else h.channels):
+            if at + bits > 8 * len(body):
+                return 8 * len(body)
+            used = any(_bit(body, at + i) for i in range(bits))
+            choices += 2 * used * (h.channels if shared else 1)
+            at += bits
+    return min(at + choices, 8 * len(body))
+
+
 _checked: dict[tuple[int, bytes], bool] = {}
 
 
 def _checksum_holds(data: bytes, at: int, word: int, h: Header) -> bool:
-    key = word, data[at + HEAD : at + HEAD + CHECK + _side(h)]
+    body = data[at + HEAD + CHECK : at + h.size]
+    bits = protected_bits(body, word, h)
+    key = word, data[at + HEAD : at + HEAD + CHECK + (bits + 7) // 8]
     if key not in _checked:
         if len(_checked) > 4096:
             _checked.clear()
-        _checked[key] = crc16(struct.pack(">H", word & 0xFFFF) + key[1][CHECK:]) == int.from_bytes(key[1][:CHECK])
+        _checked[key] = crc16(body, crc16(struct.pack(">H", word & 0xFFFF)), bits) == int.from_bytes(key[1][:CHECK])
     return _checked[key]
 
 
@@ -234,7 +279,7 @@ def parse(data: bytes) -> Stream:
             at += h.size
             continue
         first = False
-        if h.checked and h.layer == 3:
+        if h.checked:
             if _checksum_holds(data, at, word, h):
                 out.checks_good += 1
             else:
@@ -248,6 +293,8 @@ def parse(data: bytes) -> Stream:
         counts[h.hertz] = counts.get(h.hertz, 0) + h.samples
     out.samples = sum(counts.values())
     out.duration = sum((Fraction(n, hertz) for hertz, n in counts.items()), Fraction(0))
+    if counts and (silent := out.table.get("delay", 0) + out.table.get("padding", 0)):
+        out.duration = max(Fraction(0), out.duration - Fraction(silent, out.headers[0].hertz))
     return out
 
 
@@ -286,7 +333,7 @@ READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes
 
 def inspect(stored: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
     """The columns `keep`, and what reading each row's stream back gives."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.select(*keep).schema.fields)
+    keep, kept = runtime.kept(stored, keep, READ)
 
     def run(batches):
         for batch in batches:
@@ -302,7 +349,7 @@ def inspect(stored: DataFrame, keep: list[str], media: str = "media") -> DataFra
             if rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, *names])
 
-    return stored.select(*keep, media).mapInArrow(run, f"{kept}, {READ}")
+    return stored.select(*keep, media).mapInArrow(run, f"{kept}{READ}")
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
