@@ -1,28 +1,30 @@
-"""Operator 9: repeated substrings by de Bruijn compaction.
+"""Operator 9: repeated substrings on the de Bruijn graph of token k-mers.
 
-Words are tokens, and a window of WINDOW words is a node of the de Bruijn graph of all texts, consecutive windows its
-edges. Windows are dealt by minimisers (the least hash among a window's ANCHOR-word k-mers): a maximal stretch of windows
-with one minimiser is a nonbranching path, kept as one row with the hash of all its words. Equal paths are merged by
-aggregation; the first document of each is known then. Paths of one minimiser but of unlike words are where the graph
-branches (edits, borders of shared passages): there each window is compared by itself, with window hashes taken from the
-path's source coordinates in its first document. Equal windows have equal minimisers, so none is missed.
+Words are tokens and a window of WINDOW words is a k-mer, an edge of the graph between the runs of words that it starts and
+ends with. Each edge has a source: its place in the document of the smallest doc_id that holds it. An edge is repeated where
+it also occurs in another document. Repeated edges that follow each other in a document as their sources do are a path
+without branches there: such stretches are compacted to one row of the document's and the source's coordinates. Spark joins
+bring each path the words at its source, and a document's words are held against them, so no word goes by hashes alone.
 
-A word is removed if a window over it also starts in a document with a smaller doc_id. Removing is done on the texts; for
-documents with removals the source coordinates are gathered and joined, others never move.
+Windows are dealt by hash to parts, packed as bytes. What many documents hold is pre-aggregated: a task reads FLUSH_WORDS
+words at a time, and of a window's occurrences in them only those of the smallest doc_id go to the part, as for the others
+that one is a source already; their paths are compacted and their words compared at once. So no part has more entries of a
+window than there are flushes, whatever group of copies or common passage there is.
 
-Every hash has 64 bits and is compared within a minimiser's group only, so two windows are told apart by 128 bits.
+A word is removed if a window over it also starts in a document with a smaller doc_id. Removing is done on the texts;
+documents with paths are joined with them, others never move.
 
 Defined cases: null and empty texts have no words; the result's hash is then that of the empty string. Texts under WINDOW
 words keep all. Repeated rows of one doc_id are each judged, and not against each other. Windows repeated within one
-document are kept.
+document are kept. A null doc_id counts as smaller than all others. An empty table gives no rows. Other columns of the input
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,116 +32,241 @@ from . import runtime
 from .wordhash import WordHasher, signed
 
 WINDOW = 50
-ANCHOR = 12
+FLUSH_WORDS = 1 << 20
+PART_BYTES = 16 << 20  # of text for each part
+LEAST_PARTS = 64
+KEPT_BYTES = 7  # of a window's hash, within its part
+LOWEST = -(1 << 63)
+
+
+def _bytes(column) -> list[bytes]:
+    return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
+
+
+def _binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Arrays of so many numbers each, out of one, as bytes."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * flat.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _joined(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
 
+def _paths(place: np.ndarray, source: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where maximal stretches begin in which places and their sources go on by one within one `of`, and their lengths."""
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1] + 1) | (source[1:] != source[:-1] + 1) | (of[1:] != of[:-1])
+    begin = np.flatnonzero(new)
+    return begin, np.diff(begin, append=len(place))
 
-class Paths:
-    """The paths of a batch of texts."""
 
-    def __init__(self, hasher: WordHasher, texts: list[bytes]):
-        hashes, borders = hasher.words(texts)
-        self.hasher, self.borders, self.n_words = hasher, borders, np.diff(borders)
-        self.first = hasher.prefix(hashes)
+def _equal(a: list[bytes], at: int, b: list[bytes], from_: int, windows: int) -> list[tuple[int, int]]:
+    """The runs (first window, number) of a path whose words are those of its source: all of it, but for clashing hashes."""
+    n = windows + WINDOW - 1
+    if a[at : at + n] == b[from_ : from_ + n]:
+        return [(at, windows)]
+    return [(at + i, 1) for i in range(windows) if a[at + i : at + i + WINDOW] == b[from_ + i : from_ + i + WINDOW]]
+
+
+class Flush:
+    """The windows of some whole documents."""
+
+    def __init__(self, hasher: WordHasher, ids: list[int], keys: list[int], texts: list[bytes]):
+        self.ids, self.keys = np.array(ids, np.int64), np.array(keys, np.int64)
+        hashes, self.borders = hasher.words(texts)
         n = len(hashes)
-        empty = np.zeros(0, np.int64)
-        self.doc = self.start = self.windows = self.anchor = self.key = empty
+        self.place = self.doc = np.zeros(0, np.int64)
+        self.window, self.words = np.zeros(0, np.uint64), texts
         if n < WINDOW:
             return
-        doc_of = np.repeat(np.arange(len(texts)), self.n_words)
-        kmers = hasher.runs(self.first, np.arange(n - ANCHOR + 1), ANCHOR)
-        span = WINDOW - ANCHOR + 1
-        least = np.lib.stride_tricks.sliding_window_view(kmers, span).argmin(axis=1)
-        places = np.arange(n - WINDOW + 1)
-        anchors = places + least
-        whole = doc_of[places] == doc_of[places + WINDOW - 1]
-        fresh = np.ones(len(places), bool)
-        fresh[1:] = (anchors[1:] != anchors[:-1]) | ~whole[:-1]
-        begin = np.flatnonzero(fresh & whole)
-        if not len(begin):
-            return
-        # a path ends before the next fresh window or the first one that crosses a text's end
-        stops = np.flatnonzero(fresh | ~whole)
-        stops = np.append(stops, len(places))
-        self.windows = stops[np.searchsorted(stops, begin, side="right")] - begin
-        self.doc, self.start, self.anchor = doc_of[begin], begin - borders[doc_of[begin]], signed(kmers[anchors[begin]])
-        second = hasher.prefix(hashes, second=True)
-        self.key = signed(hasher.runs(second, begin, self.windows + WINDOW - 1))
+        doc = np.repeat(np.arange(len(texts)), np.diff(self.borders))
+        whole = doc[: n - WINDOW + 1] == doc[WINDOW - 1 :]
+        self.place = np.flatnonzero(whole)
+        self.doc = doc[self.place]
+        self.window = hasher.runs(hasher.prefix(hashes), np.arange(n - WINDOW + 1), WINDOW)[self.place]
 
+    def sources(self) -> np.ndarray:
+        """For each window the place of the same one in the document of smallest doc_id, or -1 if that is its own doc_id."""
+        order = np.lexsort((self.ids[self.doc], self.window))
+        w = self.window[order]
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+        of = np.repeat(order[first], np.diff(first, append=len(w)))
+        out = np.full(len(w), -1)
+        later = self.ids[self.doc[order]] > self.ids[self.doc[of]]
+        out[order[later]] = self.place[of[later]]
+        return out
+
+    def own_paths(self, sources: np.ndarray) -> list[tuple[int, int, int]]:
+        """(document, first window, number of windows) of verified paths whose sources are in this flush."""
+        some = np.flatnonzero(sources >= 0)
+        begin, sizes = _paths(self.place[some], sources[some], self.doc[some])
+        out = []
+        words = b"\n".join(self.words).split() if len(some) else []
+        for b, n in zip(begin.tolist(), sizes.tolist()):
+            i = some[b]
+            doc = int(self.doc[i])
+            out += ((doc, at - int(self.borders[doc]), k) for at, k in _equal(words, int(self.place[i]), words, int(sources[i]), n))
+        return out
+
+
+_PACKED = ("part", "ids", "keys", "counts", "windows", "starts")
 
-def _bytes(column) -> list[bytes]:
-    return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
+def scattered(texts: DataFrame, bits: int) -> DataFrame:
+    """texts (doc_id, key, text): the windows that this flush has no source for by parts (the first `bits` bits of their
+    hash), a row for each flush and part, as bytes: documents' ids and keys, how many of their windows are here, KEPT_BYTES of
+    each window's hash, and its start as the distance from the one before. Verified paths are rows of a part with a negative number,
+    with their numbers of windows in `windows`."""
 
-def paths(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text): a row for each path: anchor, key, doc_id, start (place of its first word), windows."""
+    def pack(flush: Flush, number: int) -> pa.RecordBatch:
+        sources = flush.sources()
+        rows = []
+        if paths := flush.own_paths(sources):
+            doc, start, n = np.array(paths, np.int64).T
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            counts = np.diff(first, append=len(doc))
+            rows.append((number, flush.ids[doc[first]].tobytes(), flush.keys[doc[first]].tobytes(), counts.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), start.astype(np.int32).tobytes()))
+        left = np.flatnonzero(sources < 0)
+        window, doc = flush.window[left], flush.doc[left]
+        start = flush.place[left] - flush.borders[doc]
+        part = (window >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(part.astype(np.int16) if bits < 15 else part, kind="stable")
+        border = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+        for p in range(1 << bits):
+            seg = order[border[p] : border[p + 1]]
+            if not len(seg):
+                continue
+            d, s = doc[seg], start[seg]
+            first = np.flatnonzero(np.diff(d, prepend=-1))
+            step = np.diff(s, prepend=0)
+            step[first] = s[first]
+            counts = np.diff(first, append=len(seg)).astype(np.int32)
+            short = window[seg].view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
+            rows.append((p, flush.ids[d[first]].tobytes(), flush.keys[d[first]].tobytes(), counts.tobytes(), short.tobytes(), step.astype(np.int32).tobytes()))
+        columns = list(zip(*rows)) if rows else [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=list(_PACKED))
 
     def run(batches):
         hasher = WordHasher()
+        ids, keys, held, size = [], [], [], 0
+        number = -1 - (TaskContext.get().partitionId() << 24)
         for batch in batches:
-            p = Paths(hasher, _bytes(batch.column(1)))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(p.anchor), pa.array(p.key), pa.array(ids[p.doc]), pa.array(p.start.astype(np.int32)), pa.array(p.windows.astype(np.int32))], names=["anchor", "key", "doc_id", "start", "windows"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, key long, doc_id long, start int, windows int")
-
-
-def repeated(docs: DataFrame) -> DataFrame:
-    """Per doc_id the windows that also start in a document with a smaller id: an array `spans` of (start, windows)."""
-    found = paths(docs)
-    merged = found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.first("windows").alias("windows"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    anchors = merged.groupBy("anchor").agg(F.count("*").alias("branches"), F.min("lo").alias("all_lo"), F.max("hi").alias("all_hi")).where("all_lo < all_hi").select("anchor", "branches")
-    live = merged.join(anchors, "anchor").select("anchor", "key", F.col("source.doc_id").alias("first_doc"), F.col("source.start").alias("start"), "windows", "branches", "hi")
-    live = runtime.checkpointed(live)
-    branching = live.where("branches > 1")
-    wanted = branching.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "key", "start", "windows")).alias("paths"))
-    wanted = runtime.checkpointed(wanted)
-    near = runtime.IdFilter(wanted, "doc_id")
-
-    def windows(batches):
-        hasher = WordHasher()
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2))):
+                ids.append(LOWEST if doc is None else doc)
+                keys.append(key)
+                held.append(text)
+                size += len(text) // 6
+                if size >= FLUSH_WORDS:
+                    yield pack(Flush(hasher, ids, keys, held), number)
+                    ids, keys, held, size, number = [], [], [], 0, number - 1
+        if held:
+            yield pack(Flush(hasher, ids, keys, held), number)
+
+    return texts.select("doc_id", "key", "text").mapInArrow(run, "part long, ids binary, keys binary, counts binary, windows binary, starts binary")
+
+
+def repeated(packed: DataFrame, bits: int) -> DataFrame:
+    """Per document (key) of a part: as bytes, the starts of its windows that a document of a smaller id holds, and the key
+    and start of each one's source; or the starts of verified paths, with their numbers of windows, and no sources."""
+    names = ["key", "starts", "windows", "source_keys", "source_starts"]
+
+    def run(part, table):
+        part = part[0].as_py()
+        ids, keys, counts, starts = (_joined(table.column(c), t) for c, t in (("ids", np.int64), ("keys", np.int64), ("counts", np.int32), ("starts", np.int32)))
+        doc = np.repeat(np.arange(len(keys)), counts)
+        if part < 0:
+            n = _joined(table.column("windows"), np.int32)
+            none = _binaries(np.zeros(0, np.int64), np.zeros(len(keys), np.int64))
+            return pa.table([pa.array(keys), _binaries(starts, counts), _binaries(n, counts), none, none], names=names)
+        short = _joined(table.column("windows"), np.uint8).reshape(-1, KEPT_BYTES)
+        window = np.zeros((len(short), 8), np.uint8)
+        window[:, :KEPT_BYTES] = short
+        window = window.view(np.uint64).ravel()
+        # starts are distances within a document
+        total = np.cumsum(starts.astype(np.int64))
+        before = np.cumsum(counts) - counts
+        start = (total - np.repeat(np.where(before > 0, total[before - 1], 0) if len(total) else before, counts)).astype(np.int32)
+        order = np.lexsort((ids[doc], window))
+        w = window[order]
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+        of = np.repeat(order[first], np.diff(first, append=len(w)))
+        later = ids[doc[order]] > ids[doc[of]]
+        hit, of = order[later], of[later]
+        back = np.argsort(doc[hit], kind="stable")
+        hit, of = hit[back], of[back]
+        begin = np.flatnonzero(np.diff(doc[hit], prepend=-1))
+        sizes = np.diff(begin, append=len(hit))
+        none = _binaries(np.zeros(0, np.int32), np.zeros(len(begin), np.int64))
+        return pa.table([pa.array(keys[doc[hit[begin]]]), _binaries(start[hit], sizes), none, _binaries(keys[doc[of]], sizes), _binaries(start[of], sizes)], names=names)
+
+    return packed.groupBy("part").applyInArrow(run, "key long, starts binary, windows binary, source_keys binary, source_starts binary")
+
+
+def compacted(found: DataFrame) -> DataFrame:
+    """Rows (key, start, windows, source_key, source_start) of each document's paths; source_key is null if a path's words
+    have been compared already."""
+    lists = found.groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("starts", "windows", "source_keys", "source_starts")))
+    names = ["key", "start", "windows", "source_key", "source_start"]
+
+    def run(batches):
         for batch in batches:
-            texts = _bytes(batch.column(1))
-            hashes, borders = hasher.words(texts)
-            prefix = hasher.prefix(hashes)
-            lists = batch.column(2)
-            flat = lists.flatten()
-            sizes = np.diff(lists.offsets.to_numpy())
-            doc = np.repeat(np.arange(len(texts)), sizes)
-            anchor, key, start, count = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            row = np.repeat(np.arange(len(doc)), count)
-            index = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            begin = borders[doc[row]] + start[row] + index
-            # repeated rows of one doc_id may have another text: their coordinates don't hold there
-            good = begin + WINDOW <= borders[doc[row] + 1]
-            row, index, begin = row[good], index[good], begin[good]
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[row]), pa.array(key[row]), pa.array(ids[doc[row]]), pa.array(index.astype(np.int32)), pa.array(signed(hasher.runs(prefix, begin, WINDOW)))], names=["anchor", "key", "doc_id", "i", "window"])
-
-    texts = docs.select("doc_id", "text")
-    each = near.passing(texts, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "paths").mapInArrow(windows, "anchor long, key long, doc_id long, i int, window long")
-    each = runtime.checkpointed(each)
-    lowest = each.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # what a window's path alone tells is its first document; only windows that occur in an earlier one say more
-    lower = each.join(lowest, ["anchor", "window"]).where("lo < doc_id").select("anchor", "key", "i", "lo")
-    by_path = lower.groupBy("anchor", "key").agg(F.collect_list(F.struct("i", "lo")).alias("lower"))
-    known = live.join(by_path, ["anchor", "key"], "left").where("lower IS NOT NULL OR first_doc < hi").select("anchor", "key", "first_doc", "lower")
-    marked = found.join(known, ["anchor", "key"])
-    of_all = F.when(F.col("first_doc") < F.col("doc_id"), F.array(F.struct("start", "windows")))
-    # in a path's first document, the windows that an earlier document holds
-    some = F.transform(F.filter("lower", lambda x: x["lo"] < F.col("doc_id")), lambda x: F.struct((F.col("start") + x["i"]).alias("start"), F.lit(1).alias("windows")))
-    spans = marked.select("doc_id", F.explode(F.coalesce(of_all, some)).alias("span"))
-    return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-
-
-def kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int]:
-    """The words that no span covers, and the number of all words. A span of k windows covers k + WINDOW - 1 words."""
+            parts: list[tuple] = []
+            for key, starts, windows, keys, places in zip(*(c.to_pylist() for c in batch.columns)):
+                for s, n in zip(starts, windows):
+                    if n:
+                        s, n = np.frombuffer(s, np.int32), np.frombuffer(n, np.int32)
+                        parts.append((key, s, n, np.zeros(len(s), np.int64), np.full(len(s), -1, np.int32)))
+                every = [(np.frombuffer(s, np.int32), np.frombuffer(k, np.int64), np.frombuffer(p, np.int32)) for s, k, p in zip(starts, keys, places) if k]
+                if not every:
+                    continue
+                s, k, p = (np.concatenate([e[i] for e in every]) for i in range(3))
+                s, at = np.unique(s, return_index=True)  # rows that are alike have sent the same windows
+                k, p = k[at], p[at]
+                begin, n = _paths(s, p, k)
+                parts.append((key, s[begin], n.astype(np.int32), k[begin], p[begin]))
+            key = np.repeat(np.array([x[0] for x in parts], np.int64), [len(x[1]) for x in parts])
+            columns = [np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, np.int64) for i in range(1, 5)]
+            known = columns[3] < 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(columns[0].astype(np.int32)), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int64), mask=known), pa.array(columns[3].astype(np.int32), mask=known)], names=names
+            )
+
+    return lists.mapInArrow(run, "key long, start int, windows int, source_key long, source_start int")
+
+
+def with_sources(paths: DataFrame, texts: DataFrame) -> DataFrame:
+    """Per key its paths as an array of (start, windows, words), words being those at the source, or null."""
+    open_ = paths.where("source_key IS NOT NULL")
+    held = runtime.IdFilter(open_, "source_key").passing(texts.select("key", "text"), "key").dropDuplicates(["key"])
+
+    def run(batches):
+        last, words = None, []
+        for batch in batches:
+            out = []
+            for text, start, windows in zip(*(batch.column(i) for i in (3, 4, 2))):
+                if (value := text.as_py()) != last:
+                    last, words = value, value.encode("utf-8", "surrogatepass").split()
+                out.append(b" ".join(words[start.as_py() : start.as_py() + windows.as_py() + WINDOW - 1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["key", "start", "windows", "words"])
+
+    joined = open_.join(held.withColumnRenamed("key", "source_key"), "source_key").select("key", "start", "windows", "text", "source_start")
+    cut = joined.mapInArrow(run, "key long, start int, windows int, words binary")
+    known = paths.where("source_key IS NULL").select("key", "start", "windows", F.lit(None).cast("binary").alias("words"))
+    return cut.unionByName(known).groupBy("key").agg(F.collect_list(F.struct("start", "windows", "words")).alias("paths"))
+
+
+def kept_words(text: bytes, paths: list[tuple[int, int, bytes | None]]) -> tuple[list[bytes], int]:
+    """The words that no path covers, and the number of all words. A path of k windows covers k + WINDOW - 1 words; one with
+    words covers those windows only that are equal to them."""
     found = text.split()
-    if not spans:
+    if not paths:
         return found, len(found)
     change = np.zeros(len(found) + 1, np.int64)
-    for start, windows in spans:
-        change[start] += 1
-        change[start + windows + WINDOW - 1] -= 1
+    for start, windows, words in paths:
+        for at, n in [(start, windows)] if words is None else _equal(found, start, words.split(), 0, windows):
+            change[at] += 1
+            change[at + n + WINDOW - 1] -= 1
     open_ = np.cumsum(change[:-1]) == 0
     return [found[i] for i in np.flatnonzero(open_).tolist()], len(found)
 
@@ -147,24 +274,29 @@ def kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes],
 def dedup(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed and kept (the words kept, joined by a space)."""
     runtime.small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", "text")
-    spans = runtime.checkpointed(repeated(texts))
-    near = runtime.IdFilter(spans, "doc_id")
-    flagged = near.marked(texts, "doc_id", "_touched")
+    text = runtime.text_or_empty()
+    # rows of one doc_id with unlike texts have coordinates of their own
+    texts = docs.select("doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull(), text).alias("key"), text.alias("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(LEAST_PARTS, size // PART_BYTES).bit_length() - 1
+    paths = runtime.checkpointed(compacted(repeated(scattered(texts, bits), bits)))
+    spans = runtime.checkpointed(with_sources(paths, texts))
+    near = runtime.IdFilter(spans, "key")
+    flagged = near.marked(texts, "key", "_touched")
 
     def run(batches):
         for batch in batches:
             counts, removed, kept = [], [], []
-            for text, some in zip(_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                words, n = kept_words(text, [(x["start"], x["windows"]) for x in some or ()])
+            for value, some in zip(_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                words, n = kept_words(value, [(x["start"], x["windows"], x["words"]) for x in some or ()])
                 counts.append(n)
                 removed.append(n - len(words))
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     schema = "doc_id long, n_words long, n_removed long, kept string"
-    whole = flagged.where("NOT _touched").select("doc_id", "text", F.lit(None).cast("array<struct<start:int,windows:int>>").alias("spans"))
-    touched = flagged.where("_touched").drop("_touched").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    whole = flagged.where("NOT _touched").select("doc_id", "text", F.lit(None).cast(spans.schema["paths"].dataType).alias("paths"))
+    touched = flagged.where("_touched").drop("_touched").join(spans, "key", "left").select("doc_id", "text", "paths")
     return whole.mapInArrow(run, schema).unionByName(touched.mapInArrow(run, schema))
 
 
