@@ -6,42 +6,49 @@ until it and soon again after it, so that a small edit distance becomes a small
 The fingerprint keeps SAMPLES characters of it (as one of 15 symbols each), at every 2^t-th step, t by the text's length;
 fingerprints of unlike t are compared at the steps they share.
 
-Many texts walk at once, one numpy operation a step. `near_groups` finds near copies: bands of sampled symbols make
-candidates, and the edit distance of the texts verifies them, in rounds with new pivots for each band until all documents
-of a band that aren't in one component have been compared. `near_group` is the least document of a document's component.
-
-Defined cases: null texts count as empty; an empty text's fingerprint has no symbols, and two empty texts have likeness 1.
-Likeness is the share of agreeing symbols among steps where either text has one, less what unrelated texts share by
-chance. Documents come in order of doc_id, then of the text's hash for repeated doc_ids; after the last comes the first. A
-single document is its own next one.
+Many texts walk at once, one numpy operation a step. `near_groups` finds near copies: bands of sampled symbols are the
+keys of lists of fingerprints, and the likeness of whole fingerprints verifies a list's members, first against one pivot of
+each list, then all that lie in different components against each other (see `cells`), so that no two fingerprints that
+share a band and are alike stay apart. `near_group` is the least doc_id of a document's component.
+
+Defined cases: null texts count as empty; an empty text's fingerprint has no symbols, two empty texts have likeness 1, and
+empty texts are near to each other only. Likeness is the share of agreeing symbols among steps where either text has one,
+less what unrelated texts share by chance. Documents come in order of doc_id, then of the text's hash for repeated doc_ids;
+after the last comes the first. A single document is its own next one. Equal rows have equal fingerprints and groups, and an
+empty table gives no rows. Other columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import components, runtime
+from . import cells, runtime
+from .components import components
+from .wordhash import mix, signed
 
 SEED = 8
 PERIOD = 4096
 SAMPLES = 256
 BY_CHANCE = 0.1
-BANDS, BAND_SYMBOLS = 24, 6
+BANDS, BAND_SYMBOLS = 20, 10
+#: A text walks on for twice its length on average. If that is more samples than these, a near text may be over the change of t.
+COARSE_FROM = 100
 NEAR = 0.75
-FLUSH_CHARS = 12_000_000
+#: What a worker holds at a time.
+FLUSH_CHARS, FLUSH_ROWS = 4_000_000, 4000
 
 
 class Walker:
     def __init__(self):
-        bits = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2, (PERIOD, 257), dtype=np.int64)
+        bits = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2, (PERIOD, 257), dtype=np.int64).astype(np.uint8)
         bits[:, 256] = 0  # the end of a text
         self.bits = bits
         self.symbols = np.append(np.arange(256) * 7 % 15 + 1, 0).astype(np.uint8)
@@ -118,29 +125,39 @@ def written(f: tuple[int, np.ndarray]) -> str:
     return f"{f[0]:02d}:" + "".join("0123456789abcdef"[s] for s in f[1][:n].tolist())
 
 
+_DIGIT = np.zeros(128, np.uint8)
+_DIGIT[np.frombuffer(b"0123456789abcdef", np.uint8)] = np.arange(16)
+
+
 def read(text: str) -> tuple[int, np.ndarray]:
     out = np.zeros(SAMPLES, np.uint8)
-    digits = [int(c, 16) for c in text[3:]]
-    out[: len(digits)] = digits
+    out[: len(text) - 3] = _DIGIT[np.frombuffer(text[3:].encode(), np.uint8)]
     return int(text[:2]), out
 
 
 def _picks() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, SAMPLES // 2, (BANDS, BAND_SYMBOLS))
-
-
-def bands(f: tuple[int, np.ndarray]) -> list[int]:
-    """A number for each band: symbols at bit-sampled places. Fingerprints are also banded one t coarser, so that texts at
-    either side of a change of t meet."""
-    out = []
-    coarse = np.zeros(SAMPLES, np.uint8)
-    coarse[: SAMPLES // 2] = f[1][::2]
-    for t, symbols in ((f[0], f[1]), (f[0] + 1, coarse)):
-        for i, places in enumerate(_picks()):
-            key = bytes([t, i]) + symbols[places].tobytes()
-            if symbols[places].any():
-                out.append(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "big", signed=True))
-    return out
+    # texts of t above 0 fill a third of the samples at least
+    rng = np.random.Generator(np.random.PCG64(SEED + 1))
+    return np.stack([rng.choice(SAMPLES // 3, BAND_SYMBOLS, replace=False) for _ in range(BANDS)])
+
+
+def bands(fingerprints: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of bands (symbols at bit-sampled places), and of each the place of its fingerprint. As near texts may lie at
+    either side of a change of t, the fingerprint of a text that is long for its t is also banded one t coarser."""
+    t = np.array([f[0] for f in fingerprints], np.uint64)
+    symbols = np.stack([f[1] for f in fingerprints]) if fingerprints else np.zeros((0, SAMPLES), np.uint8)
+    coarse = np.zeros_like(symbols)
+    coarse[:, : SAMPLES // 2] = symbols[:, ::2]
+    long = np.flatnonzero((symbols[:, COARSE_FROM:] > 0).any(axis=1))
+    numbers, places = [], []
+    for of, shift, rows in ((symbols, t, np.arange(len(t))), (coarse, t + np.uint64(1), long)):
+        for i, picked in enumerate(_picks()):
+            some = of[rows][:, picked].astype(np.uint64)
+            number = (some << np.arange(0, 4 * BAND_SYMBOLS, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+            held = np.flatnonzero(number)  # an empty text has no bands
+            numbers.append(mix(number[held] << np.uint64(16) ^ shift[rows][held] << np.uint64(8) ^ np.uint64(i)))
+            places.append(rows[held])
+    return signed(np.concatenate(numbers)), np.concatenate(places)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -168,7 +185,8 @@ def edited(text: str, following: str) -> str:
 
 
 RESULT = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-_STREAMED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, role int, text string"
+_FINISHED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_STREAMED = f"{_FINISHED}, part int, role int, text string"
 
 
 def _row(doc: int, text: str, new: str, own, other, nxt) -> tuple:
@@ -176,10 +194,18 @@ def _row(doc: int, text: str, new: str, own, other, nxt) -> tuple:
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """Per row of docs the columns RESULT. The texts are dealt once, by ranges of doc_id; a range's last document gets its
-    next one, the first of a later range, by a join of one row for each range."""
+    """Per row of docs the columns RESULT. The texts are dealt once, compressed, by ranges of doc_id; a range's last document
+    gets its next one, the first of a later range, by a join of one row for each range."""
     runtime.small_batches(docs.sparkSession)
-    sorted_docs = docs.select("doc_id", runtime.text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+
+    def packed(batches):
+        for batch in batches:
+            data = [zlib.compress(x.encode("utf-8", "surrogatepass"), 1) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(data, pa.binary())], names=["doc_id", "h", "packed"])
+
+    text = runtime.text_or_empty()
+    moved = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(packed, "doc_id long, h long, packed binary")
+    dealt = moved.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "h").select("doc_id", "packed")
 
     def run(batches):
         walker, part = Walker(), TaskContext.get().partitionId()
@@ -192,31 +218,25 @@ def with_edits(docs: DataFrame) -> DataFrame:
             own, other = found[: len(texts)], found[len(texts) :]
             return [(*_row(ids[i], texts[i], new[i], own[i], other[i], own[i + 1]), part, 0, None) for i in range(len(new))]
 
-        def table(rows):
-            columns = list(zip(*rows))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in _STREAMED.split(", ")])
-
         blank = (None,) * 6
         chars = 0
         for batch in batches:
-            got = batch.column(1).to_pylist()
-            if not texts and got:
-                yield table([(batch.column(0)[0].as_py(), *blank, part, 2, got[0])])
-            ids += batch.column(0).to_pylist()
-            texts += got
-            chars += sum(map(len, got))
-            if chars > FLUSH_CHARS:
-                if rows := flush():
-                    yield table(rows)
-                ids, texts = ids[-1:], texts[-1:]
-                chars = len(texts[0])
+            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                value = zlib.decompress(data.as_buffer()).decode("utf-8", "surrogatepass")
+                if not texts:
+                    yield _table([(doc, *blank, part, 2, value)], _STREAMED)
+                ids.append(doc)
+                texts.append(value)
+                chars += len(value)
+                if chars > FLUSH_CHARS or len(texts) > FLUSH_ROWS:
+                    yield _table(flush(), _STREAMED)
+                    ids, texts = ids[-1:], texts[-1:]
+                    chars = len(texts[0])
         if texts:
-            if rows := flush():
-                yield table(rows)
-            yield table([(ids[-1], *blank, part, 1, texts[-1])])
+            yield _table(flush(), _STREAMED)
+            yield _table([(ids[-1], *blank, part, 1, texts[-1])], _STREAMED)
 
-    streamed = runtime.checkpointed(sorted_docs.mapInArrow(run, _STREAMED))
+    streamed = runtime.checkpointed(dealt.mapInArrow(run, _STREAMED))
     firsts = streamed.where("role = 2").select("part", F.col("text").alias("next_text"))
     lasts = streamed.where("role = 1").select("doc_id", "text", "part")
     # one row for each range
@@ -224,87 +244,108 @@ def with_edits(docs: DataFrame) -> DataFrame:
     parts = firsts.select("part").withColumn("next_part", F.coalesce(F.lead("part").over(order), F.min("part").over(W.partitionBy())))
     edges = lasts.join(parts, "part").join(firsts.withColumnRenamed("part", "next_part"), "next_part").select("doc_id", "text", "next_text")
 
-    def finish(frames):
+    def finish(batches):
         walker = Walker()
-        for frame in frames:
+        for batch in batches:
             rows = []
-            for doc, text, following in frame.itertuples(index=False):
+            for doc, text, following in zip(*(c.to_pylist() for c in batch.columns)):
                 new = edited(text, following)
-                own, other, nxt = walker.fingerprints([text, new, following])
-                rows.append(_row(doc, text, new, own, other, nxt))
-            yield pd.DataFrame(rows, columns=list(RESULT))
-
-    finished = edges.mapInPandas(finish, ", ".join(_STREAMED.split(", ")[:7]))
-    return streamed.where("role = 0").select(*RESULT).unionByName(finished)
-
-
-def _unlike(a: str, b: str) -> int:
-    """No more than the edit distance: each edit adds or takes away one character of a kind at most."""
-    more = np.bincount(Walker.codes(a), minlength=256) - np.bincount(Walker.codes(b), minlength=256)
-    return int(max(more[more > 0].sum(), -more[more < 0].sum()))
-
-
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """One less the edit distance by the longer text's length, or 0 if that is below NEAR anyway."""
-
-    def one(x: str, y: str) -> float:
-        size = max(1, len(x), len(y))
-        if x == y:
-            return 1.0
-        return 0.0 if 1.0 - _unlike(x, y) / size < NEAR else 1.0 - edit_distance(x, y) / size
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def near_groups(docs: DataFrame) -> DataFrame:
-    """Verified links (doc_id, other, similarity), other being the smaller, where the edit distance is at most a quarter of
-    the longer text: all documents that share a band and are near have one component. In each round the next pivots of a
-    band, twice as many as before, meet those of its documents that lie in other components; what has been a pivot is done
-    with. Copies aren't expanded into all pairs."""
-    runtime.small_batches(docs.sparkSession)
-
-    def run(batches):
-        walker = Walker()
+                rows.append(_row(doc, text, new, *walker.fingerprints([text, new, following])))
+            yield _table(rows, _FINISHED)
+
+    return streamed.where("role = 0").select(*RESULT).unionByName(edges.mapInArrow(finish, _FINISHED))
+
+
+_ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    named = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(named)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, named)], names=[name for name, _ in named])
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Likeness of pairs of fingerprints of one t (rows of symbols)."""
+    any_ = (a | b) > 0
+    share = ((a == b) & any_).sum(axis=1) / np.maximum(1, any_.sum(axis=1))
+    return (share - BY_CHANCE) / (1 - BY_CHANCE)
+
+
+def _alike_in_cell(table: pa.Table, component: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of alike members, as few pairs as connect all components that alike members connect."""
+    found = [read(x) for x in table.column("fingerprint").to_pylist()]
+    t = np.array([f[0] for f in found])
+    symbols = np.stack([f[1] for f in found])
+    coarse = np.zeros_like(symbols)
+    coarse[:, : SAMPLES // 2] = symbols[:, ::2]
+    component = component.copy()
+    a, b = [], []
+    for me in range(len(found)):
+        for own, other in ((symbols, t[me]), (coarse, t[me] + 1)):
+            may = (component != component[me]) & (t == other)
+            if other == t[me]:
+                may[: me + 1] = False
+            if side[me] >= 0:
+                may &= side != side[me]
+            k = np.flatnonzero(may)
+            k = k[_alike(own[me][None], symbols[k]) >= NEAR] if len(k) else k
+            some, first = np.unique(component[k], return_index=True)
+            a += [me] * len(some)
+            b += k[first].tolist()
+            component[np.isin(component, some)] = component[me]  # connected from here on
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def near_groups(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, fingerprint): the near_group of each fingerprint, whose key is its hash."""
+    prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("key", F.xxhash64("fingerprint"))
+    prints = runtime.checkpointed(prints)
+
+    def banded(wanted: np.ndarray | None = None) -> DataFrame:
+        only = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)  # of a fixed size
+
+        def run(batches):
+            for batch in batches:
+                numbers, places = bands([read(x) for x in batch.column(1).to_pylist()])
+                if only is not None:
+                    some = runtime.in_bitmap(only.value, numbers.view(np.uint64))
+                    numbers, places = numbers[some], places[some]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(batch.column(0).to_numpy()[places])], names=["token", "key"])
+
+        return prints.select("key", "fingerprint").mapInArrow(run, "token long, key long")
+
+    # most bands have one fingerprint; those of others only move once more
+    several = runtime.checkpointed(banded().groupBy("token").count().where("count > 1").select("token"))
+    members = runtime.checkpointed(banded(runtime.token_bitmap(several, "token")).join(several, "token"))
+    # the least key of a list is its pivot; lists of two are pairs of that kind
+    lists = members.groupBy("token").agg(F.min("key").alias("lo"))
+    compared = runtime.checkpointed(members.join(lists, "token").where("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct())
+    some = prints.select("key", "fingerprint")
+
+    def alike(batches):
         for batch in batches:
-            found = batch.column(1).to_pylist()
-            keys = [bands(f) for f in walker.fingerprints(found)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "size", "bands"])
-
-    texts = docs.select("doc_id", runtime.text_or_empty().alias("text"))
-    banded = runtime.checkpointed(texts.mapInArrow(run, "doc_id long, size long, bands array<long>")).select("doc_id", "size", F.explode("bands").alias("band"))
-    rest = banded.groupBy("band", "doc_id").agg(F.min("size").alias("least"), F.max("size").alias("most")).withColumn("component", F.col("doc_id"))
-    similarity = F.pandas_udf(_similarity, "double")
-    links, checked, pivots = None, None, 1
-    while True:
-        mixed = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        ranked = runtime.checkpointed(rest.join(mixed, "band").withColumn("place", F.row_number().over(W.partitionBy("band").orderBy("doc_id"))))
-        if ranked.isEmpty():
-            break
-        own = ranked.where(F.col("place") <= pivots).select("band", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "component", "least", "most")))
-        met = ranked.join(own, "band").where("p_doc_id < doc_id AND component <> p_component")
-        # of repeated doc_ids the nearest sizes count
-        met = met.where(f"least >= {NEAR} * p_least AND p_least >= {NEAR} * least OR least < most OR p_least < p_most")
-        pairs = met.select("doc_id", F.col("p_doc_id").alias("other")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["doc_id", "other"], "left_anti")
-        pairs = runtime.checkpointed(pairs)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text")), "other")
-        new = runtime.checkpointed(both.select("doc_id", "other", similarity("text", "other_text").alias("similarity")).where(F.col("similarity") >= NEAR))
-        links = new if links is None else links.unionByName(new)
-        rest = ranked.where(F.col("place") > pivots).drop("place")
-        if not new.isEmpty():
-            labels = components.components(links.select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
-            rest = rest.join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("now")), "doc_id", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
-        pivots *= 2
-    return links if links is not None else docs.sparkSession.createDataFrame([], "doc_id long, other long, similarity double")
+            good = [likeness(read(x), read(y)) >= NEAR for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
+
+    both = compared.join(some.toDF("b", "b_print"), "b").join(some.toDF("a", "a_print"), "a").select("a", "b", "a_print", "b_print")
+    found = runtime.checkpointed(both.mapInArrow(alike, "a long, b long"))
+    open_ = runtime.checkpointed(cells.open_members(members.select("token", "key"), components(found)).join(some, "key").select("token", "key", "component", "fingerprint"))
+    more = cells.pairs(open_, _alike_in_cell)
+    linked = components(found.unionByName(more))
+    named = prints.join(linked, prints.key == linked.node, "left").select("key", "first", F.coalesce("component", "key").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("near_group"))
+    out = runtime.checkpointed(named.join(least, "component").select("key", "near_group"))
+    runtime.release(prints, several, members, compared, found, open_, more)
+    return out
 
 
 def with_groups(docs: DataFrame) -> DataFrame:
-    """with_edits(docs) and near_group, which is the document's own doc_id if nothing is near it."""
-    links = near_groups(docs).select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-    groups = components.components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("near_group"))
-    return with_edits(docs).join(groups, "doc_id", "left").withColumn("near_group", F.coalesce("near_group", "doc_id"))
+    """with_edits(docs) and near_group: the least doc_id of the documents whose fingerprints are connected by likeness."""
+    rows = with_edits(docs)
+    groups = near_groups(rows.select("doc_id", "fingerprint"))
+    return rows.withColumn("key", F.xxhash64("fingerprint")).join(groups, "key").select(*RESULT, "near_group")
 
 
 def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
