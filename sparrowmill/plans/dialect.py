@@ -38,6 +38,7 @@ _WORDS = frozenset(
 #: Words that end what stands before a comparison or IN.
 _BORDERS = _WORDS - {"distinct", "row"} | {",", "=", "<>", "!=", "<", "<=", ">", ">=", "case"}
 _TEXTS = ("sum", "avg", "stddev_samp")
+_RANKS = ("rank", "dense_rank", "row_number")
 #: Names of types in casts that Spark calls otherwise.
 _TYPES = {"text": "STRING", "varchar": "STRING", "char": "STRING", "long": "BIGINT", "integer": "INT", "datetime": "TIMESTAMP"}
 
@@ -177,6 +178,38 @@ def _ordinals(items: list) -> list:
     return [*items[: order + 2], *out, *items[stop:]]
 
 
+_AGGREGATES = ("min", "max", "sum", "avg", "count", "stddev_samp", "any")
+
+
+def _names_from(items: list) -> set[str]:
+    """The names of tables and their aliases behind FROM, up to the next clause."""
+    out: set[str] = set()
+    for x in items[1:]:
+        if _word(x, "where", "group", "having", "order", "limit"):
+            break
+        if isinstance(x, Token) and x.kind in ("name", "quoted"):
+            out.add(x.text.strip('"`').lower())
+    return out
+
+
+def _outer_terms(group: Group) -> Group:
+    """(SELECT aggregate + t.a FROM u), t being outside, as ((SELECT aggregate FROM u) + t.a)."""
+    items = group.items
+    if not items or not _word(items[0], "select"):
+        return group
+    j = next((k for k, x in enumerate(items) if _word(x, "from")), None)
+    if j is None or any(_word(x, "group", "having", "union", "except", "intersect") for x in items[j:]):
+        return group
+    own = _names_from(items[j:])
+    terms = _split(items[1:j], "+")
+    outer = [t for t in terms if len(t) == 3 and _symbol(t[1], ".") and isinstance(t[0], Token) and t[0].text.strip('"`').lower() not in own]
+    inner = [t for t in terms if t not in outer]
+    if not outer or not inner or not any(_word(t[0], *_AGGREGATES) and len(t) == 2 for t in inner if t) or any(_symbol(x, ",") for t in inner for x in t):
+        return group
+    kept = [y for k, t in enumerate(inner) for y in ([_sym("+")] if k else []) + t]
+    return Group([Group([items[0], *kept, *items[j:]]), *(y for t in outer for y in [_sym("+"), *t])])
+
+
 class _Rewriter:
     def level(self, items: list) -> list:
         """The items of one parenthesis, rewritten."""
@@ -256,7 +289,7 @@ class _Rewriter:
             i += 1
         x = items[i]
         if isinstance(x, Group):
-            return [*out, Group(self.level(x.items))], i + 1
+            return [*out, Group(self.level(_outer_terms(x).items))], i + 1
         if _word(x, "case"):
             depth, j = 0, i
             while j < len(items):
@@ -282,6 +315,8 @@ class _Rewriter:
                     out += [_name("CAST"), Group([_name("size"), Group([_name("collect_set"), Group(argument), _name("OVER"), inner]), _name("AS"), _name("BIGINT")])]
                 else:
                     out += [_name("OVER"), inner]
+                if x.low in _RANKS:  # of type long
+                    out = [_name("CAST"), Group([*out, _name("AS"), _name("BIGINT")])]
                 i += 2
             return out, i
         out.append(x)
@@ -531,6 +566,26 @@ def _resolved(tree: list, error: AnalysisException, tried: set[str]) -> list:
     return _with_alias(tree, name, value)
 
 
+def _check_branches(spark: SparkSession, tree: list, types: dict[str, str], args) -> None:
+    """The branches of a set operation have columns of equal types (NULL is of any)."""
+    if not tree or not _word(tree[0], "select") or not any(_word(x, "union", "except", "intersect") for x in tree):
+        return
+    branches: list[list] = [[]]
+    for x in tree:
+        if _word(x, "union", "except", "intersect"):
+            branches.append([])
+        elif not (_word(x, "all", "distinct") and not branches[-1]):
+            branches[-1].append(x)
+    end = next((k for k, x in enumerate(branches[-1]) if _word(x, "order", "limit")), None)
+    branches[-1] = branches[-1][:end]
+    texts = [_Text(types).of(b) for b in branches]
+    schemas = [(spark.sql(t, args=args) if args else spark.sql(t)).schema for t in texts]
+    for other in schemas[1:]:
+        for f, g in zip(schemas[0].fields, other.fields):
+            if f.dataType != g.dataType and not isinstance(f.dataType, T.NullType) and not isinstance(g.dataType, T.NullType):
+                raise TypeError(f"a set operation over {f.dataType.simpleString()} and {g.dataType.simpleString()}")
+
+
 def query(spark: SparkSession, text: str, args: list | None = None) -> DataFrame:
     """The result of a SELECT in the dialect, over the temporary views of the session. args: values of its placeholders."""
     flat = tokens(text)
@@ -547,14 +602,16 @@ def query(spark: SparkSession, text: str, args: list | None = None) -> DataFrame
         try:
             probe = _Text()
             marked = probe.of(new)
-            final = marked
+            final, final_types = marked, {}
             if probe.marks:
                 plan = (spark.sql(marked, args=args) if args else spark.sql(marked))._jdf.queryExecution().analyzed()
-                final = _Text(_types(plan)).of(new)
+                final_types = _types(plan)
+                final = _Text(final_types).of(new)
             out = spark.sql(final, args=args) if args else spark.sql(final)
             break
         except AnalysisException as error:
             tree = _resolved(tree, error, tried)
+    _check_branches(spark, new, final_types, args)
     names = _names(tree) or out.columns
     names = names if len(names) == len(out.columns) else out.columns
     out = out.toDF(*(f"c{i}" for i in range(len(names))))

@@ -60,6 +60,9 @@ def rows(df):
         ("SELECT id FROM t WHERE b BETWEEN 1 AND 50 / 5 ORDER BY id", [(1,), (4,), (6,)]),
         ("SELECT date '2000-01-31' + interval '1' month = date '2000-02-29'", [(1,)]),
         ("SELECT max(b) AS m FROM t GROUP BY id HAVING m > 7", [(10,), (10,)]),
+        ("SELECT (SELECT max(b) + t.id FROM u) AS m FROM t WHERE id < 3 ORDER BY id", [(11,), (12,)]),
+        ("SELECT id FROM t AS r WHERE id + 1 = (SELECT min(b) + r.id + 1 FROM u) ORDER BY id LIMIT 1", [(1,)]),
+        ("SELECT id FROM t WHERE id < 2 UNION ALL SELECT NULL ORDER BY id", [(None,), (1,)]),
     ],
 )
 def test_meaning(session, text, want):
@@ -88,10 +91,12 @@ def test_equals_sqlite(session, text):
 
 
 def test_types_and_names(session):
+    ranks = session.run("SELECT rank() OVER (ORDER BY b DESC) AS r, row_number() OVER (PARTITION BY c ORDER BY id) + 1 AS n FROM t")
+    assert [f.dataType.simpleString() for f in ranks.schema.fields] == ["bigint", "bigint"] and ranks.agg({"r": "max"}).first()[0] == 6
     out = session.run("SELECT id / 2, c / 2, id > 1, b + 1 AS n, count(*) OVER () FROM t")
     assert [f.dataType.simpleString() for f in out.schema.fields] == ["int", "double", "int", "int", "bigint"]
     assert out.columns == ["id / 2", "c / 2", "id > 1", "n", "count(*) OVER ()"]
-    for text in ("SELECT sum(d) FROM t", "SELECT avg(d) FROM t GROUP BY id"):
+    for text in ("SELECT sum(d) FROM t", "SELECT avg(d) FROM t GROUP BY id", "SELECT id FROM t UNION ALL SELECT d FROM t", "SELECT b FROM t EXCEPT SELECT c FROM t ORDER BY b"):
         with pytest.raises(TypeError):
             session.run(text)
 
