@@ -99,8 +99,12 @@ def reduce_group_by(df: DataFrame, keys: Sequence[str], determined: Sequence[str
     return df.groupBy(*keys).agg(*(F.any_value(c).alias(c) for c in determined), *aggregates)
 
 
-def sort(df: DataFrame, keys: Sequence[str], descending: Sequence[str] = ()) -> DataFrame:
-    return df.orderBy(*nulls_first(*keys, descending=tuple(descending)))
+def sort(df: DataFrame, keys: Sequence[str], descending: Sequence[str] = (), stable: bool = False) -> DataFrame:
+    """stable: rows of equal keys keep their order in df."""
+    order = nulls_first(*keys, descending=tuple(descending))
+    if not stable:
+        return df.orderBy(*order)
+    return df.withColumn("_place", F.monotonically_increasing_id()).orderBy(*order, "_place").drop("_place")
 
 
 def top(df: DataFrame, keys: Sequence[str], n: int, descending: Sequence[str] = ()) -> DataFrame:

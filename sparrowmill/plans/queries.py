@@ -501,6 +501,7 @@ def print_table(spark, sf_dir):
 # beyond the reference's SQL
 
 sql("cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+sql("approximate_distinct", "SELECT CAST(abs(approx_count_distinct(o_custkey) / count(DISTINCT o_custkey) - 1) < 0.15 AS INT) AS close FROM orders", "SELECT 1 AS close")
 sql("offset", "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 5 OFFSET 3")
 sql("json_values", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(props ->> '$.k' AS INT) AS k FROM events")
 sql("regex_values", "SELECT p_partkey, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) AS n, regexp_replace(p_name, '[aeiou]', '') AS c FROM part", "SELECT p_partkey, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) AS n, regexp_replace(p_name, '[aeiou]', '', 'g') AS c FROM part")

@@ -64,6 +64,12 @@ def test_sort_puts_nulls_first(spark):
     assert [r[0] for r in R.sort(df, ["x"], ["x"]).collect()] == [None, 2, 1]
 
 
+def test_stable_sort_keeps_the_order_of_equal_keys(spark):
+    df = spark.createDataFrame([(i * 7 % 3, 99 - i) for i in range(60)], "k int, v int").repartition(1).sortWithinPartitions(F.col("v").desc())
+    got = [tuple(r) for r in R.sort(df, ["k"], stable=True).collect()]
+    assert got == sorted([tuple(r) for r in df.collect()], key=lambda r: r[0])
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "t.tbl").write_text("a|b|s\nint|float_null|string\n1|2.5|x\n2|null|y z\n")
     df = files.read_tbl(spark, str(tmp_path / "t.tbl"))
