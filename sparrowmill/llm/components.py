@@ -17,13 +17,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where("a <> b").select("a", "b")
     both = runtime.checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = runtime.checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    labels = written = runtime.checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(seen, labels.node == seen.a, "left").select("node", F.least("component", "near").alias("next"), F.col("component").alias("old"))
         jumped = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
         labels_new = runtime.checkpointed(lower.join(jumped, "next", "left").select("node", F.least("next", "far").alias("component"), "old"))
         changed = labels_new.where("component <> old").limit(1).count()
-        labels = labels_new.drop("old")
+        runtime.release(written)
+        labels, written = labels_new.drop("old"), labels_new
         if not changed:
+            runtime.release(both)
             return labels
