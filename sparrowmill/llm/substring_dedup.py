@@ -238,7 +238,8 @@ def compacted(found: DataFrame) -> DataFrame:
 def with_sources(paths: DataFrame, texts: DataFrame) -> DataFrame:
     """Per key its paths as an array of (start, windows, words), words being those at the source, or null."""
     open_ = paths.where("source_key IS NOT NULL")
-    held = runtime.IdFilter(open_, "source_key").passing(texts.select("key", "text"), "key").dropDuplicates(["key"])
+    # a table of its own, so that a join with a source of very many paths can be split
+    held = runtime.checkpointed(runtime.IdFilter(open_, "source_key").passing(texts.select("key", "text"), "key").dropDuplicates(["key"]))
 
     def run(batches):
         last, words = None, []
