@@ -318,9 +318,10 @@ def near_groups(rows: DataFrame) -> DataFrame:
     # most bands have one fingerprint; those of others only move once more
     several = runtime.checkpointed(banded().groupBy("token").count().where("count > 1").select("token"))
     members = runtime.checkpointed(banded(runtime.token_bitmap(several, "token")).join(several, "token"))
-    # the least key of a list is its pivot; lists of two are pairs of that kind
+    # the least key of a list is its pivot; each fingerprint meets the least pivot of its lists, so there is a pair for each
     lists = members.groupBy("token").agg(F.min("key").alias("lo"))
-    compared = runtime.checkpointed(members.join(lists, "token").where("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct())
+    compared = members.join(lists, "token").groupBy("key").agg(F.min("lo").alias("lo")).where("lo < key")
+    compared = runtime.checkpointed(compared.select(F.col("lo").alias("a"), F.col("key").alias("b")))
     some = prints.select("key", "fingerprint")
 
     def alike(batches):
