@@ -29,3 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
         if not changed:
             runtime.release(both)
             return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after links (a, b) between components, where a node that labels don't have is its own one."""
+    top = components(links)
+    old = labels.join(top.toDF("component", "_top"), "component", "left").select("node", F.coalesce("_top", "component").alias("component"))
+    return old.unionByName(top.join(labels, "node", "left_anti"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import cells, runtime
-from .components import components
+from .components import components, joined
 from .wordhash import mix, signed
 
 SEED = 8
@@ -319,8 +319,8 @@ def near_groups(rows: DataFrame) -> DataFrame:
     several = runtime.checkpointed(banded().groupBy("token").count().where("count > 1").select("token"))
     members = runtime.checkpointed(banded(runtime.token_bitmap(several, "token")).join(several, "token"))
     # the least key of a list is its pivot; each fingerprint meets the least pivot of its lists, so there is a pair for each
-    lists = members.groupBy("token").agg(F.min("key").alias("lo"))
-    compared = members.join(lists, "token").groupBy("key").agg(F.min("lo").alias("lo")).where("lo < key")
+    pivots = members.groupBy("token").agg(F.min("key").alias("lo"))
+    compared = members.join(pivots, "token").groupBy("key").agg(F.min("lo").alias("lo")).where("lo < key")
     compared = runtime.checkpointed(compared.select(F.col("lo").alias("a"), F.col("key").alias("b")))
     some = prints.select("key", "fingerprint")
 
@@ -332,13 +332,15 @@ def near_groups(rows: DataFrame) -> DataFrame:
 
     both = compared.join(some.toDF("b", "b_print"), "b").join(some.toDF("a", "a_print"), "a").select("a", "b", "a_print", "b_print")
     found = runtime.checkpointed(both.mapInArrow(alike, "a long, b long"))
-    open_ = runtime.checkpointed(cells.open_members(members.select("token", "key"), components(found)).join(some, "key").select("token", "key", "component", "fingerprint"))
-    more = cells.pairs(open_, _alike_in_cell)
-    linked = components(found.unionByName(more))
+    labels = components(found)
+    open_ = runtime.checkpointed(cells.open_members(members.select("token", "key"), labels).withColumn("weight", F.lit(SAMPLES)))
+    lists = cells.merged(open_)
+    more = cells.links(lists, some, _alike_in_cell)
+    linked = joined(labels, more)
     named = prints.join(linked, prints.key == linked.node, "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("near_group"))
     out = runtime.checkpointed(named.join(least, "component").select("key", "near_group"))
-    runtime.release(prints, several, members, compared, found, open_, more)
+    runtime.release(prints, several, members, compared, found, open_, lists, more)
     return out
 
 

@@ -13,11 +13,10 @@ its shingles that comes first, one of which any link must have in common. The bo
 than the entries that its prefix meets in the inverted lists, whose mean length is measured. Both kinds of keys make lists.
 
 A list isn't expanded into all its pairs. First each compares its members with one pivot, chosen by hash, so that lists of
-the same members share a pivot: this links the many near copies of one text at once. Then lists whose members lie in
-different components are scanned in cells of a bounded size (see `cells`), and within a cell only members of different
-components are held against each other, by bounds on sizes, places and bitmaps of the sets (a bit of one set that the other
-lacks is a shingle that it lacks). What passes is verified on the sets, so that no link between components is lost; links
-within a component change nothing.
+the same members share a pivot: this links many near copies of one text at once. Then the other members of lists in which
+these lie in different components are compared in cells of a bounded size (see `cells`), lists of about the same members as
+one. A cell holds its members' sets and counts the shingles that members of different components have in common, so that no
+link between components is lost, and gives only the components that it connects; links within a component change nothing.
 
 Shingles that HOT_HERE classes of one flush hold skip their part (which only gets a mark for each flush) and come last in the
 order, by ORDER_BUCKETS counters of a fixed size: so no part has more than HOT_HERE entries a flush of one shingle.
@@ -44,7 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import cells, runtime
-from .components import components
+from .components import components, joined
 from .wordhash import WordHasher, mix, signed
 
 SHINGLE = 5
@@ -56,7 +55,6 @@ LEAST_PARTS = 64
 HOT_HERE = 32
 HOT_RANK = 1 << 24
 ORDER_BUCKETS = 1 << 20
-BITMAP_MOST = 1 << 16
 
 
 def needed(a: int, b: int) -> int:
@@ -107,25 +105,6 @@ def signature(x: np.ndarray) -> np.uint64:
     return x.sum(dtype=np.uint64)
 
 
-def bitmap(x: np.ndarray, n: int) -> bytes:
-    """A bit for the low bits of each shingle of x, in 2 bits or more for each of the n shingles of the set; sets of very many
-    shingles have BITMAP_MOST bits."""
-    size = 64
-    while size < min(2 * n, BITMAP_MOST):
-        size *= 2
-    out = np.zeros(size, np.uint8)
-    out[(x & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").tobytes()
-
-
-def folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """Bitmaps (a row of 64-bit words each) at the size of smaller ones."""
-    while bits.shape[1] > words:
-        half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
-    return bits
-
-
 def may_link(n, place, other_n, other_place):
     """Bounds on list members, as numbers or columns: their sizes, and how much can still be common after their places in the
     order, where a place below 0 tells nothing. Of the places before a common shingle at most as many are common as the
@@ -283,13 +262,12 @@ def repeated(packed: DataFrame, bits: int, common: np.ndarray) -> DataFrame:
 
 
 def candidates(docs: DataFrame, n_shingles: int, common: np.ndarray) -> DataFrame:
-    """The classes that may link: key, n, their shingles that other classes hold (as bytes, in order), a bitmap of these, and
-    how many entries of lists their prefix has and meets."""
+    """The classes that may link: key, n, their shingles that other classes hold (as bytes, in order), and how many entries of lists their prefix has and meets."""
     bits = max(LEAST_PARTS, n_shingles // PART_SHINGLES).bit_length() - 1
     found = repeated(scattered(docs, bits), bits, common)
     # summed before they move; a hot shingle may be counted twice here, from two flushes
     sums = found.groupBy("key").agg(F.first("n").alias("n"), F.sum("m").alias("m"), F.collect_list("shingles").alias("shingles"), F.collect_list("ranks").alias("ranks")).where("4 * m >= 3 * n")
-    names = ["key", "n", "m", "shingles", "bits", "entries", "met"]
+    names = ["key", "n", "shingles", "entries", "met"]
 
     def run(batches):
         for batch in batches:
@@ -303,12 +281,12 @@ def candidates(docs: DataFrame, n_shingles: int, common: np.ndarray) -> DataFram
                 flat, rank = flat[order], rank[order]
                 prefix = rank[: max(0, prefix_size(n) - (n - len(flat)))]
                 met = np.where(prefix < HOT_RANK, prefix, 2.0 ** np.minimum(40, prefix - HOT_RANK))
-                rows.append((key, n, len(flat), flat.tobytes(), bitmap(flat, n), len(prefix), float(met.sum())))
-            columns = list(zip(*rows)) if rows else [()] * 7
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.float64()]
+                rows.append((key, n, flat.tobytes(), len(prefix), float(met.sum())))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return sums.select("key", "n", "shingles", "ranks").mapInArrow(run, "key long, n int, m int, shingles binary, bits binary, entries long, met double")
+    return sums.select("key", "n", "shingles", "ranks").mapInArrow(run, "key long, n int, shingles binary, entries long, met double")
 
 
 def entries(classes: DataFrame, light: int) -> DataFrame:
@@ -361,54 +339,63 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "a_n", "a_set", "b_n", "b_set").mapInArrow(run, "a long, b long")
 
 
-def _may_link_in_cell(table: pa.Table, component: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of members of unlike components (and sides, where they have one) that all bounds allow to link."""
-    n, m, place = (table.column(c).to_numpy() for c in ("n", "m", "place"))
-    bits = table.column("bits").to_pylist()
-    words = np.array([len(x) // 8 for x in bits])
+def _linked_in_cell(table: pa.Table, component: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of linked members, as few pairs as connect all components that linked members connect."""
+    n, sets = table.column("n").to_numpy(), table.column("shingles").to_pylist()
+    sizes = np.array([len(x) // 8 for x in sets])
+    borders = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.frombuffer(b"".join(sets), np.uint64)
+    order = np.argsort(flat, kind="stable")
+    holders = np.repeat(np.arange(len(n)), sizes)[order]  # of a shingle, in order of their places
+    first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0])) if len(flat) else np.zeros(0, np.int64)
+    times = np.diff(first, append=len(flat))
+    after, end = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
+    after[order], end[order] = np.arange(1, len(flat) + 1), np.repeat(first + times, times)
+    component = component.copy()
     a, b = [], []
-    for w in np.unique(words).tolist():
-        own = np.flatnonzero(words == w)
-        # sets that link are alike in size, so their bitmaps are of one size or of the next one
-        next_ = np.flatnonzero(words == 2 * w)
-        at = np.concatenate([own, next_])
-        rows = np.concatenate([folded(np.frombuffer(b"".join(bits[i] for i in x), np.uint64).reshape(len(x), -1), w) for x in (own, next_) if len(x)])
-        for i, me in enumerate(own.tolist()):
-            may = (component[at] != component[me]) & may_link(n[at], place[at], n[me], place[me])
-            may[: i + 1] = False
-            if side[me] >= 0:
-                may &= side[at] != side[me]
-            k = np.flatnonzero(may)
-            if not len(k):
-                continue
-            lacks, extra = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (rows[i] & ~rows[k], rows[k] & ~rows[i]))
-            k = at[k]
-            # of the shingles that other classes hold too, as no others are in bitmaps and intersections
-            common = np.minimum(m[me] - lacks, m[k] - extra)
-            k = k[7 * common >= 3 * (n[me] + n[k])]
-            a.append(np.full(len(k), me))
-            b.append(k)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def links(classes: DataFrame, light: int) -> DataFrame:
-    """Verified links (a, b) between keys of classes, enough of them that all linked ones are connected."""
+    for me in range(len(n) - 1):
+        may = component[me + 1 :] != component[me]
+        if side[me] >= 0:
+            may &= side[me + 1 :] != side[me]
+        if not may.any():
+            continue
+        own = slice(borders[me], borders[me + 1])
+        later = [holders[s:e] for s, e in zip(after[own].tolist(), end[own].tolist()) if s < e]
+        if not later:
+            continue
+        common = np.bincount(np.concatenate(later), minlength=len(n))[me + 1 :]
+        k = np.flatnonzero(may & (7 * common >= 3 * (n[me].astype(np.int64) + n[me + 1 :]))) + me + 1
+        if len(k):
+            some, first_of = np.unique(component[k], return_index=True)
+            a += [me] * len(some)
+            b += k[first_of].tolist()
+            component[np.isin(component, some)] = component[me]  # connected from here on
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def linked(classes: DataFrame, light: int) -> DataFrame:
+    """(node, component) of the keys of classes that link with others, component being the least key that links reach."""
     every = runtime.checkpointed(entries(classes, light))
     several = every.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
     lists = runtime.checkpointed(every.join(several, "token"))
+    runtime.release(every)
     # pivots: a token's last bits choose one of PIVOTS orders of classes
     order = F.struct(F.xxhash64("key", F.col("token").bitwiseAND(PIVOTS - 1)).alias("h"), F.col("key").alias("p_key"), F.col("n").alias("p_n"), F.col("place").alias("p_place"))
     pivot = lists.groupBy("token").agg(F.min(order).alias("p")).select("token", "p.*")
-    pairs = lists.join(pivot, "token").where("key <> p_key").where(may_link(F.col("n"), F.col("place"), F.col("p_n"), F.col("p_place")))
-    compared = runtime.checkpointed(pairs.select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).distinct())
+    fits = may_link(F.col("n"), F.col("place"), F.col("p_n"), F.col("p_place")).alias("fits")
+    others = runtime.checkpointed(lists.join(pivot, "token").where("key <> p_key").select("token", "key", F.col("n").alias("weight"), "p_key", fits))
+    runtime.release(lists)
+    compared = runtime.checkpointed(others.where("fits").select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).distinct())
     found = runtime.checkpointed(verified(compared, classes))
     labels = components(found)
-    members = cells.open_members(lists, labels).join(classes.select("key", "m", "bits"), "key")
-    members = runtime.checkpointed(members.select("token", "key", "n", "m", "place", "component", "bits"))
-    rest = cells.pairs(members, _may_link_in_cell)
-    more = runtime.checkpointed(verified(rest.join(compared, ["a", "b"], "left_anti"), classes))
-    runtime.release(every, lists, compared, rest, members)
-    return found.unionByName(more)
+    # a list's pivot has met all of its members, so that the others are left
+    open_ = runtime.checkpointed(cells.open_members(others.select("token", "key", "weight"), labels))
+    runtime.release(others, compared)
+    rest = cells.merged(open_)
+    more = cells.links(rest, classes.select("key", "n", "shingles"), _linked_in_cell)
+    out = runtime.checkpointed(joined(labels, more))
+    runtime.release(found, open_, rest, more)
+    return out
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -421,11 +408,11 @@ def join(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     may = runtime.checkpointed(candidates(docs, total, common_shingles(rows)))
     cost = may.agg(F.sum("met") / F.sum("entries")).first()[0]
-    linked = components(links(may, boundary(cost or 0.0)))
-    named = classes.join(linked, classes.s1 == linked.node, "left").select("s1", "s2", "n_shingles", "first", F.coalesce("component", "s1").alias("component"))
+    found = linked(may, boundary(cost or 0.0))
+    named = classes.join(found, classes.s1 == found.node, "left").select("s1", "s2", "n_shingles", "first", F.coalesce("component", "s1").alias("component"))
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = runtime.checkpointed(named.join(ids, "component").select("s1", "s2", "n_shingles", "component_id"))
-    runtime.release(classes, may)
+    runtime.release(classes, may, found)
     out = sets.join(ids, ["s1", "s2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

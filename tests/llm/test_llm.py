@@ -608,6 +608,37 @@ def test_a_large_near_group_is_one_component(spark, monkeypatch):
         assert [got[i] for i in range(len(rows))] == low
 
 
+def _far_copies(rng, n):
+    """Copies of one text of 150 words, each with its own two or three edits, so that most are too far from most others."""
+    rows = []
+    for i in range(n):
+        w = [f"b{k}" for k in range(150)]
+        for k in range(rng.choice((2, 3, 3))):
+            w[rng.randrange(len(w))] = f"e{i}-{k}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def _counted(counts, name, f):
+    def run(df, *rest):
+        counts[name] += df.count()
+        return f(df, *rest)
+
+    return run
+
+
+def test_jaccard_of_a_near_group_gives_few_rows(spark, monkeypatch):
+    """What is verified and linked of a near group grows with its members, not with their pairs, in several cells too."""
+    counts = {"verified": 0, "edges": 0}
+    monkeypatch.setattr(jaccard_join, "verified", _counted(counts, "verified", jaccard_join.verified))
+    every = _counted(counts, "edges", components.components)
+    monkeypatch.setattr(components, "components", every)
+    monkeypatch.setattr(jaccard_join, "components", every)
+    monkeypatch.setattr(cells, "CELL", 100)
+    assert jaccard_join.join(odd(spark, _far_copies(random.Random(11), 300))).count() == 300
+    assert counts["verified"] <= 8 * 300 and counts["edges"] <= 5 * 300
+
+
 def test_pipeline_by_brute_force(spark, tmp_path):
     """Which documents stay and how often, stage by stage on a fixture with each case, against plain Python."""
     import corpus_pipeline
