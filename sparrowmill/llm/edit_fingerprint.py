@@ -9,7 +9,8 @@ fingerprints of unlike t are compared at the steps they share.
 Many texts walk at once, one numpy operation a step. `near_groups` finds near copies: bands of sampled symbols are the
 keys of lists of fingerprints, and the likeness of whole fingerprints verifies a list's members, first against one pivot of
 each list, then all that lie in different components against each other (see `cells`), so that no two fingerprints that
-share a band and are alike stay apart. `near_group` is the least doc_id of a document's component.
+share a band and are alike stay apart; where lists are compared as one, alike ones that share a band with a third may be
+linked too. `near_group` is the least doc_id of a document's component.
 
 Defined cases: null texts count as empty; an empty text's fingerprint has no symbols, two empty texts have likeness 1, and
 empty texts are near to each other only. Likeness is the share of agreeing symbols among steps where either text has one,

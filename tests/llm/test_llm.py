@@ -639,6 +639,16 @@ def test_jaccard_of_a_near_group_gives_few_rows(spark, monkeypatch):
     assert counts["verified"] <= 8 * 300 and counts["edges"] <= 5 * 300
 
 
+def test_fingerprints_of_a_near_group_give_few_links(spark, monkeypatch):
+    counts = {"edges": 0}
+    every = _counted(counts, "edges", components.components)
+    monkeypatch.setattr(components, "components", every)
+    monkeypatch.setattr(edit_fingerprint, "components", every)
+    monkeypatch.setattr(cells, "CELL", 100)
+    assert edit_fingerprint.with_groups(odd(spark, _far_copies(random.Random(11), 300))).count() == 300
+    assert counts["edges"] <= 4 * 300
+
+
 def test_pipeline_by_brute_force(spark, tmp_path):
     """Which documents stay and how often, stage by stage on a fixture with each case, against plain Python."""
     import corpus_pipeline
