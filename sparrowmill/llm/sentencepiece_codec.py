@@ -187,6 +187,14 @@ def load_model(path: str = DEFAULT_MODEL) -> bytes:
         return f.read()
 
 
+def _encoded(worker: PieceCodec, texts) -> pa.ListArray:
+    flat, offsets = array("i"), array("i", [0])
+    for value in texts:
+        flat.extend(worker.encode(value.as_py() or ""))
+        offsets.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()), pa.array(memoryview(flat), pa.int32()))
+
+
 def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of piece ids for its texts."""
     spark = docs.sparkSession
@@ -198,26 +206,24 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text: str = "text",
     def run(batches):
         worker = codec(model.value)
         for batch in batches:
-            flat, offsets = array("i"), array("i", [0])
-            for value in batch.column(batch.schema.get_field_index(text)):
-                flat.extend(worker.encode(value.as_py() or ""))
-                offsets.append(len(flat))
-            column = pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()), pa.array(memoryview(flat), pa.int32()))
+            column = _encoded(worker, batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids])
 
     return docs.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """Per document its ids, their count and digest, and what decoding them gives back."""
-    encoded = encode(docs.select("doc_id", "text"), model_path)
+    """Per document its ids, their count and digest, and what decoding them gives back. One worker does both, as each holds
+    a codec and its cache."""
+    runtime.small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
 
     def run(batches):
         worker = codec(model.value)
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("n_chars", "n_tokens", "n_byte_tokens", "ids_sha256", "decoded_sha256", "round_trip")}
-            for value, found in zip(batch.column(1), batch.column(2)):
+            column = _encoded(worker, batch.column(1))
+            for value, found in zip(batch.column(1), column):
                 text, ids = value.as_py() or "", found.values.to_numpy()
                 listed = ids.tolist()
                 back = worker.decode(listed)
@@ -227,9 +233,9 @@ def digest(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
                 rows["ids_sha256"].append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
                 rows["decoded_sha256"].append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                 rows["round_trip"].append(back == text.replace(MARK, " "))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows.values()), batch.column(2)], names=["doc_id", *rows, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows.values()), column], names=["doc_id", *rows, "ids"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_chars long, n_tokens long, n_byte_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, n_tokens long, n_byte_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, ids array<int>")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

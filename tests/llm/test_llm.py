@@ -77,6 +77,11 @@ def test_pieces_are_the_best_and_come_back(spark):
     assert all(r["round_trip"] for r in got.values()) and got[1]["n_tokens"] == 0 and got[4]["ids"] == got[5]["ids"]
 
 
+def test_digests_need_one_worker_for_each_task(spark):
+    plan = sentencepiece_codec.digest(odd(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_audio_round_trip_and_resynchronisation(spark):
     for payload in (b"", b"x", bytes(range(256)) * 40):
         data = mpeg_audio.mux(mpeg_audio.pad(payload))
