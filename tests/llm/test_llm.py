@@ -644,6 +644,18 @@ def test_jaccard_of_a_near_group_gives_few_rows(spark, monkeypatch):
     assert counts["verified"] <= 8 * 300 and counts["edges"] <= 5 * 300
 
 
+def test_near_copies_of_the_pipeline_give_few_rows(spark, monkeypatch):
+    """The same in one cell, through the stage."""
+    import corpus_pipeline
+
+    counts = {"verified": 0}
+    monkeypatch.setattr(jaccard_join, "verified", _counted(counts, "verified", jaccard_join.verified))
+    docs = odd(spark, _far_copies(random.Random(12), 300))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert counts["verified"] <= 8 * 300
+    assert kept == {r["component_id"] for r in jaccard_join.join(docs).collect()}
+
+
 def test_fingerprints_of_a_near_group_give_few_links(spark, monkeypatch):
     counts = {"edges": 0}
     every = _counted(counts, "edges", components.components)
